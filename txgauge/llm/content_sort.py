@@ -45,11 +45,11 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = spark.createDataFrame(totals.filter(F.col(_HN) >= least).collect(), totals.schema)  # at most 4 * parts rows
         base = base.join(F.broadcast(salts), _H, "left")
         base = base.withColumn(_S, F.pmod(F.xxhash64(id_col), F.coalesce(_HOT, F.lit(1))))
-    else:
-        base = base.withColumn(_S, F.lit(0).cast("long"))
+    # without hot texts there is no salt: a constant would be folded out of the range key, but not out of the window's
+    keys = [_P, _H, _S] if hot else [_P, _H]
     base = base.withColumn(_P, F.substring(_N, 1, 32)).withColumn("text_sha256", F.sha2(_N, 256))
-    ranged = base.repartitionByRange(_P, _H, _S)
-    ordered = Window.partitionBy(_P, _H, _S, _N).orderBy(F.col(id_col).asc_nulls_last())
+    ranged = base.repartitionByRange(*keys)
+    ordered = Window.partitionBy(*keys, _N).orderBy(F.col(id_col).asc_nulls_last())
     group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = ranged.select(
         "*",

@@ -1,26 +1,29 @@
 """Language identification by compression: the dictionary that shrinks a text most names its language.
 
 The dictionaries are raw zstandard content: texts of the language, those with the smallest hash of their text, up to
-a number of documents and bytes that are parameters; that is the only sample here. A text is compressed whole, in
-pieces short enough that the dictionary and not the text itself explains it, and the sizes are summed.
+a number of documents and bytes that are parameters; that is the only sample here. Texts and dictionaries are reduced
+to lower-case letters with single spaces between runs of them. A text is compressed whole, in pieces short enough
+that the dictionary and not the text itself explains it, and the sizes are summed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-PIECE = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+PIECE = 4096
+_OTHER = re.compile(r"[\W\d_]+")
 ADDED = ("lang_pred", "score", "rejected")
 
 
+def letters_of(text: str) -> bytes:
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
+
+
 def fit_dictionaries(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_docs: int = 64, most_bytes: int = 65536, most_langs: int = 1000
 ) -> dict[str, bytes]:
@@ -28,11 +31,12 @@ def fit_dictionaries(
 
     At most most_docs texts and most_bytes bytes a language, most_langs languages (more raise). Texts are taken by
     ascending hash, so the result does not depend on partitions; rows over a hash bound that leaves far more than
-    most_docs texts are dropped before the sort, so no language is sorted as a whole.
+    most_docs texts are dropped before the sort, so no language is sorted as a whole. Languages come by falling number of
+    labelled rows: texts too short to be told apart go to the first.
     """
     use = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     use = use.filter("lang is not null and text is not null and length(trim(text)) > 0").withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 20)))
-    counts = use.groupBy("lang").agg(F.count_distinct("h").alias("n")).limit(most_langs + 1).collect()
+    counts = use.groupBy("lang").agg(F.count_distinct("h").alias("n"), F.count(F.lit(1)).alias("rows")).limit(most_langs + 1).collect()
     if len(counts) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
     if not counts:
@@ -46,39 +50,42 @@ def fit_dictionaries(
     out: dict[str, bytes] = {}
     share = most_bytes // most_docs * 4
     for r in few.withColumn("k", rank).filter(F.col("k") <= most_docs).select("lang", F.substring("text", 1, share).alias("text")).orderBy("lang", F.desc("k")).collect():
-        out[r["lang"]] = (out.get(r["lang"], b"") + r["text"].encode("utf-8", "replace") + b"\n")[-most_bytes:]
-    return out
+        out[r["lang"]] = (out.get(r["lang"], b"") + letters_of(r["text"]))[-most_bytes:]
+    return {r["lang"]: out[r["lang"]] for r in sorted(counts, key=lambda r: (-r["rows"], r["lang"]))}
 
 
 class Classifier:
     """Compressors of all languages, each with the dictionary held ready."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3) -> None:
-        self.langs = sorted(dictionaries)
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
+        self.langs = list(dictionaries)
         self.tools = []
+        how = zstandard.ZstdCompressionParameters.from_level(
+            6, strategy=zstandard.STRATEGY_GREEDY, min_match=3, write_checksum=0, write_content_size=0, write_dict_id=0
+        )
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.tools.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(compression_params=how)
+            self.tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, score); score is by how much of the runner-up's size the winner is smaller, times 4, at most 1."""
-        if not self.langs or not text or not _LETTER.search(text):
+        raw = letters_of(text or "")
+        if not self.langs or not raw.strip():
             return UNKNOWN, 0.0
-        raw = text.encode("utf-8", "replace")
         pieces = [raw[a : a + PIECE] for a in range(0, len(raw), PIECE)]
-        sizes = sorted((sum(len(tool.compress(p)) for p in pieces), lang) for tool, lang in zip(self.tools, self.langs, strict=True))
+        sizes = sorted((sum(len(tool.compress(p)) for p in pieces), k) for k, tool in enumerate(self.tools))
         if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], min(1.0, 4 * (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+            return self.langs[0], 1.0
+        return self.langs[sizes[0][1]], min(1.0, 4 * (sizes[1][0] - sizes[0][0]) / sizes[1][0])
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float = 0.02, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float = 0.04, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and rejected.
 
     `und`, score 0 and rejected for null texts, texts without a letter, and if no language was learned; texts whose
-    score is under least_score keep their best language and are rejected. Equal sizes go to the smaller name, score
-    0. Input columns with the added names are replaced; an empty table gives an empty result.
+    score is under least_score keep their best language and are rejected. Equal sizes go to the language learned
+    first, with score 0. Input columns with the added names are replaced; an empty table gives an empty result.
     """
     state = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most most_langs * most_bytes
     held: list[Classifier] = []
@@ -102,6 +109,3 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn(docs: DataFrame, **how) -> dict[str, bytes]:
     """Dictionaries from the documents that are not held out."""
     return fit_dictionaries(docs.filter(~held_out()), **how)
-
-
-__all__: Sequence[str] = ("Classifier", "fit_dictionaries", "held_out", "identify", "learn")
