@@ -9,6 +9,7 @@ that the dictionary and not the text itself explains it, and the sizes are summe
 from __future__ import annotations
 
 import re
+
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window

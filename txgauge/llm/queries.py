@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txgauge.llm import bpe, content_sort, lang_id, mixing, token_counts, url_reputation
+from txgauge.llm import bpe, content_sort, lang_id, mixing, simhash, token_counts, url_reputation
 from txgauge.llm.common import table
 
 RULES: tuple[url_reputation.Rule, ...] = (
@@ -73,6 +73,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -89,5 +93,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_content_sort, op4_bpe, op6_mixing, op9_lang_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op9_lang_id, op10_token_counts)}
 ORACLES = {"op2_url_reputation": OP2, "op3_content_sort": OP3}
