@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txgauge.llm import bpe, content_sort, lang_id, mixing, simhash, token_counts, url_reputation
+from txgauge.llm import bpe, content_sort, knn_join, lang_id, mixing, pii, simhash, token_counts, url_reputation
 from txgauge.llm.common import table
 
 RULES: tuple[url_reputation.Rule, ...] = (
@@ -17,6 +17,22 @@ RULES: tuple[url_reputation.Rule, ...] = (
 )
 
 
+def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP1 = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM v q, v x
+  WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
     return url_reputation.judge_urls(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -82,6 +98,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = lang_id.identify(docs.select("doc_id", "text"), lang_id.learn(docs))
@@ -93,5 +113,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op9_lang_id, op10_token_counts)}
-ORACLES = {"op2_url_reputation": OP2, "op3_content_sort": OP3}
+QUERIES = {f.__name__: f for f in (op1_knn_join, op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op8_pii, op9_lang_id, op10_token_counts)}
+ORACLES = {"op1_knn_join": OP1, "op2_url_reputation": OP2, "op3_content_sort": OP3}
