@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as Parquet in the cluster's checkpoint folder (see cut), read again."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        cut(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txgauge.llm import bpe, content_sort, knn_join, lang_id, mixing, pii, simhash, token_counts, url_reputation
+from txgauge.llm import bpe, content_sort, knn_join, lang_id, mixing, pii, simhash, suffix_index, token_counts, url_reputation
 from txgauge.llm.common import table
 
 RULES: tuple[url_reputation.Rule, ...] = (
@@ -98,6 +98,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -113,5 +118,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_knn_join, op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op8_pii, op9_lang_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_knn_join, op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op7_suffix_index, op8_pii, op9_lang_id, op10_token_counts)}
 ORACLES = {"op1_knn_join": OP1, "op2_url_reputation": OP2, "op3_content_sort": OP3}
