@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,3 +59,13 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffles that led to them."""
+    for t in tables:
+        for path in {os.path.dirname(f).split("/batch=")[0] for f in t.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import cut, filled, written
+from txgauge.llm.common import filled, release, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # hashes in a window
@@ -87,7 +87,7 @@ def _runs(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
         own, *rest = entries([x[2] for x in held])
         row, shift = np.array([x[0] for x in held])[own], np.array([x[1] for x in held])[own]
         a, lo, hi, h, t = rest
-        return pd.DataFrame({"id": d["id"].to_numpy()[row], "x": d["x"].to_numpy()[row], "h": h, "t": t, "a": a + shift, "lo": lo + shift, "hi": hi + shift})
+        return pd.DataFrame({"id": d["id"].to_numpy()[row], "x": d["x"].to_numpy()[row], "h": h, "t": t, "p": (a + shift) << 16 | (a - lo) << 8 | (hi - lo)})
 
     for i, text in enumerate(d["text"]):
         raw = (text or "").encode("utf-8", "replace")
@@ -103,18 +103,18 @@ def _runs(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def anchor_entries(docs: DataFrame) -> DataFrame:
-    """Entries of documents (id, x, text)."""
+    """Entries of documents (id, x, text); p packs the anchor, its first window before it, and the number of windows more."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             yield from _runs(d)
 
-    return docs.mapInPandas(run, f"id {kind}, x long, h long, t long, a long, lo long, hi long")
+    return docs.mapInPandas(run, f"id {kind}, x long, h long, t long, p long")
 
 
 class SuffixIndex:
-    """Levels of merged batches: level i holds 2**i of them."""
+    """Levels of merged batches: level i holds 2**i of them, as sorted (h, t, n), n being how often the block occurs."""
 
     def __init__(self) -> None:
         self.levels: dict[int, DataFrame] = {}
@@ -122,7 +122,7 @@ class SuffixIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Index the entries of a batch and note the hashes found again, in it or in a level."""
-        new = written(self._merged(batch.withColumn("n", F.lit(1).cast("long"))), "suffixes")
+        new = written(self._merged(batch.select("h", "t", F.lit(1).cast("long").alias("n"))), "suffixes")
         seen = new.select("h", "n", F.lit(1).alias("new"))
         for level in self.levels.values():
             seen = seen.union(level.select("h", "n", F.lit(0)))
@@ -130,26 +130,30 @@ class SuffixIndex:
         self.hits.append(written(found, "hits"))
         rank = 0
         while rank in self.levels:
-            new = written(self._merged(self.levels.pop(rank).union(new)), "suffixes")
+            old = [self.levels.pop(rank), new]
+            new = written(self._merged(old[0].union(old[1])), "suffixes")
+            release(batch.sparkSession, *old)
             rank += 1
         self.levels[rank] = new
 
     @staticmethod
     def _merged(rows: DataFrame) -> DataFrame:
-        """One entry for each block, sorted; where it first occurs stands for all."""
-        where = F.min(F.struct("id", "x", "a", "lo", "hi")).alias("w")
-        return rows.groupBy("h", "t").agg(F.sum("n").alias("n"), where).select("w.id", "w.x", "h", "t", "w.a", "w.lo", "w.hi", "n").sortWithinPartitions("h", "t")
+        return rows.groupBy("h", "t").agg(F.sum("n").alias("n")).sortWithinPartitions("h", "t")
 
     def repeated(self) -> DataFrame:
-        """Entries of all levels under the hashes found again, with `kinds`: how many blocks share the hash."""
+        """(h, t, n, kinds) of what may repeat: blocks that occur again, and hashes with several kinds of block."""
         every = hits = None
         for level in self.levels.values():
             every = level if every is None else every.union(level)
         for x in self.hits:
             hits = x if hits is None else hits.union(x)
-        merged = written(self._merged(every.join(hits.distinct(), "h", "left_semi").select(*every.columns)), "repeated")
+        merged = written(self._merged(every.join(hits.distinct(), "h", "left_semi").select("h", "t", "n")), "merged")
         kinds = merged.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        return merged.join(kinds, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
+        out = merged.join(kinds, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
+        out = written(out.filter("n > 1 or kinds > 1"), "repeated")
+        release(out.sparkSession, merged, *self.levels.values(), *self.hits)
+        self.levels, self.hits = {}, []
+        return out
 
 
 def _windows(block: pd.Series, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +172,7 @@ def _windows(block: pd.Series, offset: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def shared_windows(d: pd.DataFrame) -> pd.DataFrame:
-    """(h, t, rs, re): runs of windows that another block under the same hash has, as bytes from the anchor."""
+    """(id, x, s, e): byte ranges of windows that another block under the same hash has, of blocks that occur once."""
     d = d.drop_duplicates(["h", "t"])
     w, has = _windows(d["block"], d["o"].to_numpy())
     group = pd.factorize(d["h"])[0].astype(np.uint64)
@@ -186,7 +190,9 @@ def shared_windows(d: pd.DataFrame) -> pd.DataFrame:
     edge = np.diff(hit, axis=1)
     rows, starts = np.nonzero(edge == 1)
     _, ends = np.nonzero(edge == -1)
-    return pd.DataFrame({"h": d["h"].to_numpy()[rows], "t": d["t"].to_numpy()[rows], "rs": starts - LEFT, "re": ends - 1 - LEFT + LENGTH})
+    out = pd.DataFrame({"s": d["a"].to_numpy()[rows] + starts - LEFT, "e": d["a"].to_numpy()[rows] + ends - 1 - LEFT + LENGTH})
+    out = out.assign(id=d["id"].to_numpy()[rows], x=d["x"].to_numpy()[rows])
+    return out[(d["n"] == 1).to_numpy()[rows]]
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,50 +214,57 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows with the bytes of the entries asked for of each document."""
     for d in batches:
         out: list[tuple] = []
-        for text, asked in zip(d["text"], d["asked"], strict=True):
+        for i, x, text, asked in zip(d["id"], d["x"], d["text"], d["asked"], strict=True):
             raw = text.encode("utf-8", "replace")
-            out += [(e["h"], e["t"], e["a"] - e["lo"], raw[e["lo"] : e["hi"] + LENGTH]) for e in asked]
-        yield pd.DataFrame(out, columns=["h", "t", "o", "block"])
+            for e in asked:
+                a, o, more = e["p"] >> 16, e["p"] >> 8 & 255, e["p"] & 255
+                out.append((i, x, e["h"], e["t"], e["n"], a, o, raw[a - o : a - o + more + LENGTH]))
+        yield pd.DataFrame(out, columns=["id", "x", "h", "t", "n", "a", "o", "block"])
 
 
 def _hot_windows(d: pd.DataFrame) -> pd.DataFrame:
     w, has = _windows(d["block"], d["o"].to_numpy())
     rows, s = np.nonzero(has)
-    return pd.DataFrame({"h": d["h"].to_numpy()[rows], "t": d["t"].to_numpy()[rows], "s": s, "w": w[rows, s].view(np.int64)})
+    return d.iloc[rows][["id", "x", "h", "t", "n", "a"]].assign(s=s, w=w[rows, s].view(np.int64))
 
 
-def repeated_ranges(docs: DataFrame, batches: int = 4, most_kinds: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, batches: int = 2, most_kinds: int = 20_000) -> DataFrame:
     """(id, x, starts, ends): byte ranges to be removed from documents (id, x, text); x is a hash of the text.
 
     Hashes with more than most_kinds blocks are not held in one task: their windows are dealt out one by one.
     """
+    kind = docs.schema["id"].dataType.simpleString()
     found = anchor_entries(docs).withColumn("batch", F.pmod(F.xxhash64("id", "x"), F.lit(batches)).cast("int"))
     found = written(found, "anchors", "batch")
     index = SuffixIndex()
     for b in range(batches):
-        index.add(found.filter(F.col("batch") == b).drop("batch"))
-    again = cut(index.repeated().filter("n > 1 or kinds > 1"))
-    whole = again.filter("n > 1").select("h", "t", (F.col("lo") - F.col("a")).alias("rs"), (F.col("hi") - F.col("a") + LENGTH).alias("re"))
-    asked = again.filter("kinds > 1").groupBy("id", "x").agg(F.collect_list(F.struct("h", "t", "a", "lo", "hi")).alias("asked"))
-    same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("x") == F.col("__x"))
-    texts = docs.join(asked.withColumnsRenamed({"id": "__i", "x": "__x"}), same).select("text", "asked")
-    blocks = texts.mapInPandas(_blocks, "h long, t long, o long, block binary")
-    hot = again.filter(F.col("kinds") > most_kinds).select("h").distinct()
-    runs = "h long, t long, rs long, re long"
+        index.add(found.filter(F.col("batch") == b))
+    again = index.repeated()
+    mine = written(found.drop("batch").join(again, ["h", "t"]), "again")
+    release(docs.sparkSession, found, again)
+    first = (F.shiftright("p", 16) - F.shiftright("p", 8).bitwiseAND(255)).alias("s")
+    whole = mine.filter("n > 1").select("id", "x", first, (first + F.col("p").bitwiseAND(255) + LENGTH).alias("e"))
+    mixed = mine.filter("kinds > 1").groupBy("h", "t", "n").agg(F.min(F.struct("id", "x", "p")).alias("w"))
+    asked = mixed.groupBy(F.col("w.id").alias("__i"), F.col("w.x").alias("__x")).agg(F.collect_list(F.struct("h", "t", "n", "w.p")).alias("asked"))
+    texts = docs.join(asked, F.col("id").eqNullSafe(F.col("__i")) & (F.col("x") == F.col("__x"))).select("id", "x", "text", "asked")
+    blocks = texts.mapInPandas(_blocks, f"id {kind}, x long, h long, t long, n long, a long, o long, block binary")
+    ranges = f"s long, e long, id {kind}, x long"
+    hot = mine.filter(F.col("kinds") > most_kinds).select("h").distinct()
     if hot.isEmpty():
-        shared = blocks.repartition("h").sortWithinPartitions("h").mapInPandas(_solve, runs)
+        shared = blocks.repartition("h").sortWithinPartitions("h").mapInPandas(_solve, ranges)
     else:
         blocks = written(blocks, "blocks")
-        shared = blocks.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_solve, runs)
+        shared = blocks.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_solve, ranges)
         one = blocks.join(hot, "h", "left_semi").select(*blocks.columns).dropDuplicates(["h", "t"])
-        one = written(one.mapInPandas(lambda it: (_hot_windows(d) for d in it), "h long, t long, s long, w long"), "windows")
-        two = one.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        each = one.join(two, ["h", "s", "w"], "left_semi").select("h", "t", (F.col("s") - LEFT).alias("rs"), (F.col("s") - LEFT + LENGTH).alias("re"))
-        shared = shared.union(each)
-    ranges = whole.union(shared)
-    hits = found.select("id", "x", "h", "t", "a").join(ranges, ["h", "t"])
-    near = F.collect_set(F.struct((F.col("a") + F.col("rs")).alias("s"), (F.col("a") + F.col("re")).alias("e"))).alias("r")
-    return hits.groupBy("id", "x").agg(near).select("id", "x", F.col("r.s").alias("starts"), F.col("r.e").alias("ends"))
+        one = written(one.mapInPandas(lambda it: (_hot_windows(d) for d in it), f"id {kind}, x long, h long, t long, n long, a long, s long, w long"), "windows")
+        two = one.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+        start = F.col("a") + F.col("s") - LEFT
+        shared = shared.union(one.filter("n = 1").join(two, ["h", "s", "w"], "left_semi").select(start, start + LENGTH, "id", "x"))
+    shared = written(shared.toDF("s", "e", "id", "x"), "shared")
+    release(docs.sparkSession)
+    every = whole.union(shared.select("id", "x", "s", "e"))
+    near = every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "e")).alias("r"))
+    return near.select("id", "x", F.col("r.s").alias("starts"), F.col("r.e").alias("ends"))
 
 
 def _removed(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
