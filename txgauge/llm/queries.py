@@ -38,7 +38,14 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP2 = """
+def _shrunk(prior: str, post: str) -> str:
+    """The posterior al, be of the rows of prior (n, bad, pa, pb)."""
+    return f"""{post}_ AS (SELECT *, (pa - bad) / (pa - bad + pb - (n - bad)) AS m, 1 / (pa - bad + pb - (n - bad) + 1) AS own FROM {prior}),
+{post}r AS (SELECT coalesce(least(0.5::DOUBLE, greatest(0.001::DOUBLE, sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0))), 0.5::DOUBLE) AS rho FROM {post}_ WHERE n > 0),
+{post} AS (SELECT *, bad + c * m AS al, n - bad + c * (1 - m) AS be FROM (SELECT *, 1 / (rho + (1 - rho) * own) - 1 AS c FROM {post}_, {post}r))"""
+
+
+OP2 = f"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -53,13 +60,13 @@ k AS (
          CASE WHEN sl THEN two ELSE parts[-1] END AS suffix, CASE WHEN sl THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
-s0 AS (SELECT *, (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) FROM s) AS m FROM s),
-s1 AS (SELECT suffix, (bad + k * m) / (n + k) AS m1 FROM s0, (SELECT 1 / coalesce(least(0.5::DOUBLE, greatest(0.001::DOUBLE, sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0))), 0.5) - 1 AS k FROM s0 WHERE n > 0)),
-d0 AS (SELECT d.*, m1 AS m FROM d JOIN s1 USING (suffix)),
-d1 AS (SELECT domain, (bad + k * m) / (n + k) AS m2 FROM d0, (SELECT 1 / coalesce(least(0.5::DOUBLE, greatest(0.001::DOUBLE, sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0))), 0.5) - 1 AS k FROM d0 WHERE n > 0)),
-h0 AS (SELECT k.host, n, bad, m2 AS m FROM k JOIN d1 USING (domain)),
-h1 AS (SELECT host, bad + k * m AS a, n - bad + k * (1 - m) AS b FROM h0, (SELECT 1 / coalesce(least(0.5::DOUBLE, greatest(0.001::DOUBLE, sum((bad - n * m) ** 2 - n * m * (1 - m)) / nullif(sum(n * m * (1 - m) * (n - 1)), 0))), 0.5) - 1 AS k FROM h0 WHERE n > 0)),
-v AS (SELECT host, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS own FROM h1)
+s0 AS (SELECT s.*, t.bad + 0.5::DOUBLE AS pa, t.n - t.bad + 0.5::DOUBLE AS pb FROM s, (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM s) t),
+{_shrunk('s0', 's1')},
+d0 AS (SELECT d.*, al AS pa, be AS pb FROM d JOIN s1 USING (suffix)),
+{_shrunk('d0', 'd1')},
+h0 AS (SELECT k.host, k.n, k.bad, al AS pa, be AS pb FROM k JOIN d1 USING (domain)),
+{_shrunk('h0', 'h1')},
+v AS (SELECT host, CASE WHEN al / (al + be) - 1.645::DOUBLE * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS own FROM h1)
 SELECT page_id, p.host, path,
   CASE WHEN (p.host = 'example.net' OR p.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (p.host = 'example.com' OR p.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

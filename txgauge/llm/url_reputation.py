@@ -1,8 +1,8 @@
 """URL filtering by rules and by empirical-Bayes host reputation.
 
 Labelled page outcomes (bad or not) are counted per host. Rates are shrunk along all pages -> suffix -> registered
-domain -> host: each level's prior is a beta distribution around the level above, its concentration estimated from
-the whole level by the method of moments. A host is blocked if the lower posterior bound of its bad rate exceeds a
+domain -> host: each level's prior is a beta distribution around the level above without the row's own pages, its
+concentration estimated from the whole level by the method of moments. A host is blocked if the lower posterior bound of its bad rate exceeds a
 limit. Hosts without labels have the rate of their domain or suffix, with that level's uncertainty.
 """
 
@@ -49,19 +49,22 @@ def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colu
     return rule, verdict
 
 
-def _shrunk(level: DataFrame, prior: str, to: str) -> DataFrame:
-    """level (n, bad, prior mean) with the posterior's mean `to`, and its alpha and beta.
+def _shrunk(level: DataFrame) -> DataFrame:
+    """level (n, bad, and the parent's posterior pa, pb) with its own posterior alpha, beta.
 
-    rho = (sum (bad - n m)^2 - sum n m (1 - m)) / sum n (n - 1) m (1 - m), kept within 0.001 and 0.5.
+    The prior is the parent without the row's own pages, so none count twice. Its mean is m; its intra-class
+    correlation is that of the level, rho, and the parent's own uncertainty by the law of total variance. rho =
+    (sum (bad - n m)^2 - sum n m (1 - m)) / sum n (n - 1) m (1 - m), kept within 0.001 and 0.5.
     """
-    m = F.col(prior)
-    v = F.col("n") * m * (1 - m)
-    over = F.sum(F.pow(F.col("bad") - F.col("n") * m, 2) - v)
-    rho = level.filter("n > 0").agg(F.coalesce(F.least(F.lit(0.5), F.greatest(F.lit(0.001), F.try_divide(over, F.sum(v * (F.col("n") - 1))))), F.lit(0.5)).alias("__rho"))
-    k = 1 / F.col("__rho") - 1
-    d = level.crossJoin(F.broadcast(rho))  # one row
-    d = d.withColumn("alpha", F.col("bad") + k * m).withColumn("beta", F.col("n") - F.col("bad") + k * (1 - m)).drop("__rho")
-    return d.withColumn(to, F.col("alpha") / (F.col("alpha") + F.col("beta")))
+    a, b = F.col("pa") - F.col("bad"), F.col("pb") - (F.col("n") - F.col("bad"))
+    d = level.withColumns({"m": a / (a + b), "own": 1 / (a + b + 1)})
+    v = F.col("n") * F.col("m") * (1 - F.col("m"))
+    over = F.sum(F.pow(F.col("bad") - F.col("n") * F.col("m"), 2) - v)
+    rho = d.filter("n > 0").agg(F.coalesce(F.least(F.lit(0.5), F.greatest(F.lit(0.001), F.try_divide(over, F.sum(v * (F.col("n") - 1))))), F.lit(0.5)).alias("rho"))
+    d = d.crossJoin(F.broadcast(rho))  # one row
+    d = d.withColumn("k", 1 / (F.col("rho") + (1 - F.col("rho")) * F.col("own")) - 1)
+    post = {"alpha": F.col("bad") + F.col("k") * F.col("m"), "beta": F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("m"))}
+    return d.withColumns(post).drop("m", "own", "rho", "k", "pa", "pb")
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -69,12 +72,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     d = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = d.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    top = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("m0"))
-    s = _shrunk(suffixes.crossJoin(F.broadcast(top)), "m0", "m1").select("suffix", "m1")
-    g = _shrunk(domains.join(s, "suffix"), "m1", "m2").select("domain", "m2")
-    h = _shrunk(d.join(g, "domain"), "m2", "bad_rate")
+    bad, n = F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    top = suffixes.agg((bad + 0.5).alias("pa"), (n - bad + 0.5).alias("pb"))
+    parent = lambda x, key: x.select(key, F.col("alpha").alias("pa"), F.col("beta").alias("pb"))
+    s = parent(_shrunk(suffixes.crossJoin(F.broadcast(top))), "suffix")  # one row
+    g = parent(_shrunk(domains.join(s, "suffix")), "domain")
+    h = _shrunk(d.join(g, "domain"))
     total = F.col("alpha") + F.col("beta")
     spread = F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
+    h = h.withColumn("bad_rate", F.col("alpha") / total)
     return h.select("host", "n", "bad", "bad_rate", (F.col("bad_rate") - z * spread).alias("bad_bound"))
 
 
