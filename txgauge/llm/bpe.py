@@ -9,13 +9,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from txgauge.llm.common import slices
 
 PIECE = 1 << 16
 _CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -48,18 +52,23 @@ def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """docs with token_ids (little-endian unsigned 32-bit integers in a binary) and decoded (bytes of those ids).
 
-    Null text counts as empty and has no ids. No special tokens are added or recognised. Input columns named
-    token_ids or decoded are replaced; an empty table gives an empty result.
+    Null text counts as empty and has no ids. No special tokens are added or recognised. Only the columns in keep
+    stay, by default all. Input columns named token_ids or decoded are replaced; an empty table gives an empty result.
+    A worker holds one batch of texts and the ids of a few MB of them.
     """
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("token_ids", "decoded")]
+    d = docs.select(*columns, F.col(text_col).cast("string").alias("__bpe_text"))
+    schema = T.StructType([*d.schema.fields[:-1], T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
-    @F.pandas_udf("token_ids binary, decoded binary")
-    def both(text: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        ids = [encode(enc, t or "") for t in text]
-        return pd.DataFrame({"token_ids": [i.tobytes() for i in ids], "decoded": [enc.decode_bytes(i.tolist()) for i in ids]})
+        for b in batches:
+            for part in slices(b, "__bpe_text"):
+                ids = [encode(enc, t or "") for t in part.column("__bpe_text").to_pylist()]
+                made = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([enc.decode_bytes(i.tolist()) for i in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*columns, "token_ids", "decoded"])
 
-    columns = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    return docs.select(*columns, both(F.col(text_col).cast("string")).alias("__bpe")).select(*columns, "__bpe.token_ids", "__bpe.decoded")
+    return d.mapInArrow(run, schema)

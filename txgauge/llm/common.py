@@ -6,7 +6,11 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +39,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """batch in consecutive slices, without copies, each with about `most` bytes of a text column or a single longer text."""
+    if batch.num_rows:
+        sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        starts = np.flatnonzero(np.diff(sums // most, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
