@@ -24,8 +24,8 @@ def contig_metrics(contigs: DataFrame, per_ref: DataFrame, expression: DataFrame
     """contigs (contig_idx, name, length, ...) with everything known of them, defaults where nothing is.
 
     per_ref: name, the counters, bases_uncovered and p_not_segmented of every reference of the alignment header;
-    names join exactly, and those that are no contig are dropped. expression: name, eff_len, eff_count, tpm; its names
-    are cut at the first white space. `headed` and `expressed` tell whether a contig was found in either.
+    names join exactly, and those that are no contig are dropped. expression: name, eff_len, eff_count, tpm; of its
+    names the first word counts. `headed` and `expressed` tell whether a contig was found in either.
     """
     r = per_ref.select("name", F.lit(True).alias("headed"), "bases_uncovered", "p_not_segmented", "fragments_mapped", "good", "bridges", "scored_alignments", "edit_distance_total", "reads_mapped")
     d = contigs.join(r, "name", "left")
@@ -33,7 +33,7 @@ def contig_metrics(contigs: DataFrame, per_ref: DataFrame, expression: DataFrame
         none = {"expressed": F.lit(None).cast("boolean"), "eff_length": F.lit(0).cast("long"), "eff_count": F.lit(0.0), "tpm": F.lit(0.0)}
         d = d.withColumns(none)
     else:
-        name = F.split(F.trim("name"), r"\s+")[0]
+        name = F.regexp_extract("name", r"\S+", 0)
         e = expression.select(name.alias("name"), F.lit(True).alias("expressed"), F.col("eff_len").cast("long").alias("eff_length"), F.col("eff_count").cast("double"), F.col("tpm").cast("double"))
         d = d.join(e, "name", "left")
     on = F.coalesce("headed", F.lit(False))
