@@ -71,7 +71,7 @@ def test_lang_id_held_out_accuracy(spark):
     out = lang_id.identify(docs, lang_id.learn(docs)).withColumn("held_out", lang_id.held_out()).filter("held_out and lang is not null and lang_pred <> 'und'")
     rows = out.select("lang", "lang_pred", "rejected").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
-    assert sum(r.rejected for r in rows) / len(rows) < 0.05
+    assert sum(r.rejected for r in rows) / len(rows) < 0.02
 
 
 def test_lang_id_edges(spark):

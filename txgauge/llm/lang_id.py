@@ -3,7 +3,9 @@
 The dictionaries are raw zstandard content: texts of the language, those with the smallest hash of their text, up to
 a number of documents and bytes that are parameters; that is the only sample here. Texts and dictionaries are reduced
 to lower-case letters with single spaces between runs of them. A text is compressed whole, in pieces short enough
-that the dictionary and not the text itself explains it, and the sizes are summed.
+that the dictionary and not the text itself explains it, and the sizes are summed. Each piece stands between zero
+bytes, whose own size is taken off again: the library looks for no match in the last bytes of its input, and stores
+very short ones as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 PIECE = 4096
+HEAD, TAIL = bytes(32), bytes(16)
 _OTHER = re.compile(r"[\W\d_]+")
 ADDED = ("lang_pred", "score", "rejected")
 
@@ -68,20 +71,21 @@ class Classifier:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self.tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
+        self.none = [len(t.compress(HEAD + TAIL)) for t in self.tools]
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """(language, score); score is by how much of the runner-up's size the winner is smaller, times 4, at most 1."""
         raw = letters_of(text or "")
         if not self.langs or not raw.strip():
             return UNKNOWN, 0.0
-        pieces = [raw[a : a + PIECE] for a in range(0, len(raw), PIECE)]
-        sizes = sorted((sum(len(tool.compress(p)) for p in pieces), k) for k, tool in enumerate(self.tools))
+        pieces = [HEAD + raw[a : a + PIECE] + TAIL for a in range(0, len(raw), PIECE)]
+        sizes = sorted((sum(len(tool.compress(p)) - none for p in pieces), k) for k, (tool, none) in enumerate(zip(self.tools, self.none, strict=True)))
         if len(sizes) == 1:
             return self.langs[0], 1.0
-        return self.langs[sizes[0][1]], min(1.0, 4 * (sizes[1][0] - sizes[0][0]) / sizes[1][0])
+        return self.langs[sizes[0][1]], min(1.0, 4 * (sizes[1][0] - sizes[0][0]) / max(sizes[1][0], 1))
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float = 0.04, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float = 0.02, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and rejected.
 
     `und`, score 0 and rejected for null texts, texts without a letter, and if no language was learned; texts whose
