@@ -2,8 +2,9 @@
 
 Data and queries are grouped by their nearest pivot. From each data group's size and radius around its pivot p come
 bounds on the score of any member x: q.p - |q| r <= q.x <= q.p + |q| r. A query's k-th best lower bound rules out
-every group whose upper bound lies under it. Data of a group are replicated only to the query groups with a query
-that needs it, in chunks of bounded size, and solved there; the best of all chunks are merged.
+every group whose upper bound lies under it. Cells with few queries join query groups of about QUERIES. Data of a
+group are replicated only to the query groups with a query that needs it, in chunks of bounded size, and solved
+there; the best of all chunks are merged.
 
 Groups are nested: every Voronoi cell is cut into rings by distance from the pivot, so radii differ within a cell.
 """
@@ -42,6 +43,25 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.sqrt(((x - pivots[at]) ** 2).sum(1))
 
 
+def query_groups(pivots: np.ndarray, sizes: list[int]) -> tuple[list[int], list[int]]:
+    """For every cell its query group, and the number of blocks of that group.
+
+    Cells with few queries share a group with cells nearby, as data are sent to each group that needs them.
+    """
+    left, at, group, held = set(range(len(pivots))), 0, 0, 0
+    joint, total = [0] * len(pivots), [0] * len(pivots)
+    while left:
+        left.discard(at)
+        joint[at] = group
+        held += sizes[at]
+        total[group] = held
+        if held >= QUERIES // 2:
+            group, held = group + 1, 0
+        if left:
+            at = min(left, key=lambda c: (float(((pivots[c] - pivots[at]) ** 2).sum()), c))
+    return joint, [max(1, -(-total[g] // QUERIES)) for g in joint]
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, pivots: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -95,9 +115,10 @@ def top_k(
         floor = np.where(size.sum() >= k + 1, np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], -np.inf)
         return high >= floor[:, None] - 1e-6 * np.maximum(1, np.abs(high))
 
-    n_queries = placed.filter("q").groupBy("cell").count().collect()  # `pivots` rows
-    blocks = F.get(F.array(*[F.lit(next((-(-r["count"] // QUERIES) for r in n_queries if r["cell"] == c), 1)) for c in range(len(p))]), F.col("cell"))
-    asked = placed.filter("q").withColumn("qg", F.concat_ws(":", "cell", F.pmod(F.xxhash64("id"), blocks))).select("id", "v", "qg")
+    n_queries = {r["cell"]: r["count"] for r in placed.filter("q").groupBy("cell").count().collect()}  # `pivots` rows
+    joint, blocks = query_groups(p, [n_queries.get(c, 0) for c in range(len(p))])
+    of_cell = lambda x: F.get(F.array(*[F.lit(int(y)) for y in x]), F.col("cell"))
+    asked = placed.filter("q").withColumn("qg", F.concat_ws(":", of_cell(joint), F.pmod(F.xxhash64("id"), of_cell(blocks)))).select("id", "v", "qg")
 
     def wants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
