@@ -5,7 +5,12 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from dataclasses import fields
+from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from txgauge import tools
 from txgauge.plans import assess, reports
 from txgauge.session import session
 from txgauge.sources import tables
@@ -22,6 +27,12 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--bam", nargs="+", help="alignments in read order, one file an assembly")
     a.add_argument("--quant", nargs="+", help="expression estimates, one table an assembly")
     a.add_argument("--left", help="left reads, a comma-separated list")
+    a.add_argument("--right", help="right reads; with these and without --bam, aligner and quantifier are run")
+    a.add_argument("-t", "--threads", type=int, default=8, help="of aligner and quantifier")
+    a.add_argument("--keep-bam", action="store_true", help="keep the alignments made here")
+    a.add_argument("--no-error-model", action="store_true")
+    for f in fields(tools.Mapping):
+        a.add_argument(f"--{f.name.replace('_', '-')}", type=int, default=f.default)
     a.add_argument("--fragments", type=int, help="read pairs in all; by default counted in --left")
     a.add_argument("--reference", help=argparse.SUPPRESS)
     c = sub.add_parser("compare", help="compare result folders")
@@ -38,16 +49,40 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def assessed(spark: SparkSession, args: argparse.Namespace) -> int:
+    assess.run(spark, args.assembly, args.output, args.bam, args.quant, args.left, args.fragments)
+    return 0
+
+
+def from_reads(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Alignments and estimates first. Alignments are deleted only after all results are written."""
+    out = Path(args.output).absolute()
+    if (out / "assemblies.csv").exists():
+        raise FileExistsError(f"{out}/assemblies.csv is there already")
+    how = tools.Mapping(**{f.name: getattr(args, f.name) for f in fields(tools.Mapping)})
+    try:
+        made = tools.prepare([str(Path(a).absolute()) for a in args.assembly], args.left, args.right, out / "work", args.threads, how, not args.no_error_model)
+        assess.run(spark, args.assembly, args.output, made.alignments, made.estimates, args.left, made.fragments)
+    except BaseException:
+        for path, size in tools.survivors(out):
+            logging.error("kept for the next run: %s (%.1f MB)", path, size / 1e6)
+        raise
+    for path in [] if args.keep_bam else made.alignments:
+        Path(path).unlink(missing_ok=True)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     args = p.parse_args(argv)
     logging.basicConfig(level=args.loglevel.upper(), format="%(asctime)s %(levelname)s %(message)s")
     if args.what == "assess" and args.reference:
         p.error("comparison with reference proteins is not supported")
+    if args.what == "assess" and args.right and not args.left:
+        p.error("--right needs --left")
     spark = session(args.master)
     if args.what == "assess":
-        assess.run(spark, args.assembly, args.output, args.bam, args.quant, args.left, args.fragments)
-        return 0
+        return from_reads(spark, args) if args.right and not args.bam else assessed(spark, args)
     if args.what == "picks":
         groups = tables.read_orthogroups(spark, args.orthogroups) if args.orthogroups else tables.read_group_files(spark, args.groups)
         d, counts = reports.compare_picks(spark, args.old_csv, args.new_csv, groups, args.out_prefix)
