@@ -67,8 +67,9 @@ def assign(
     m = _mapped(alignments, error_rate).join(small(priors.withColumnRenamed("name", "__name"), n_refs), "ref_id")
     own = Window.partitionBy("fragment_idx", "ref_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     f = Window.partitionBy("fragment_idx")
-    m = m.withColumns({"__sum": F.sum("__ll").over(own), "__own": F.bit_or("__bit").over(own)})
-    m = m.withColumns({"__mates": F.bit_or("__bit").over(f), "__typical": F.max("query_len").over(f)})
+    m = m.repartition(F.col("fragment_idx")).withColumns({"__sum": F.sum("__ll").over(own), "__own": F.bit_or("__bit").over(own)})
+    # __mates is taken from __own, so that the wider window stays above and one sort serves both windows
+    m = m.withColumns({"__mates": F.bit_or("__own").over(f), "__typical": F.max("query_len").over(f)})
     m = _scored(m, error_rate, fraction)
     rank = F.col("score") if places is None else F.round("score", places)
     best = F.min(F.struct((-rank).alias("s"), (-F.col("prior")).alias("p"), F.col("__name").alias("n"), F.col("ref_id").alias("r"))).over(f)

@@ -44,9 +44,10 @@ def bin_states(refs: DataFrame, covered_runs: DataFrame, bins: int = B.BINS, pad
     parts = covered_runs.join(w, "ref_id").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / F.col("__w")), F.floor((F.col("end") - 1) / F.col("__w")))))
     low = F.greatest(F.col("start"), F.col("bin") * F.col("__w"))
     high = F.least(F.col("end"), (F.col("bin") + 1) * F.col("__w"))
-    sums = parts.groupBy("ref_id", "bin").agg(F.sum((high - low) * F.col("depth")).alias("__total"))
-    every = w.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    sums = parts.groupBy("ref_id", "bin").agg(F.sum((high - low) * F.col("depth")).alias("total"))
+    totals = sums.groupBy("ref_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "total"))).alias("__totals"))  # at most `bins` entries
+    every = w.join(totals, "ref_id", "left").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     size = B.bin_size(F.col("length"), F.col("__w"), F.col("bin"))
     every = every if pad else every.filter(size > 0)
-    out = every.join(sums, ["ref_id", "bin"], "left")
-    return out.select("ref_id", F.col("bin").cast("int").alias("bin"), B.state_of(F.coalesce("__total", F.lit(0)), size).alias("state"))
+    total = F.coalesce(F.try_element_at("__totals", F.col("bin")), F.lit(0))
+    return every.select("ref_id", F.col("bin").cast("int").alias("bin"), B.state_of(total, size).alias("state"))

@@ -24,7 +24,8 @@ def prob_not_segmented(states: DataFrame, key: str = "ref_id", null_prior: float
     # fixed by the model: ln of the gamma of n_states over that of n_states + n
     base = [math.lgamma(n_states) - math.lgamma(n_states + n) for n in range(most + 1)]
     norm = lambda n: F.element_at(F.array(*[F.lit(x) for x in base]), (n + 1).cast("int"))
-    d = states.select(key, F.col("bin").alias("b"), F.least(F.greatest(F.col("state"), F.lit(0)), F.lit(n_states - 1)).alias("s"))
+    # one exchange on the key serves all windows
+    d = states.repartition(F.col(key)).select(key, F.col("bin").alias("b"), F.least(F.greatest(F.col("state"), F.lit(0)), F.lit(n_states - 1)).alias("s"))
     same = Window.partitionBy(key, "s")
     left = F.count(F.lit(1)).over(same.orderBy("b"))
     d = d.withColumns({"l": left, "r": F.count(F.lit(1)).over(same) + 1 - left})
