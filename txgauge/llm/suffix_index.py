@@ -147,11 +147,13 @@ class SuffixIndex:
             every = level if every is None else every.union(level)
         for x in self.hits:
             hits = x if hits is None else hits.union(x)
-        merged = written(self._merged(every.join(hits.distinct(), "h", "left_semi").select("h", "t", "n")), "merged")
-        kinds = merged.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        # joined from written tables, so that Spark can split the rows of a hash that is very frequent
+        again = written(hits.distinct(), "again")
+        merged = written(self._merged(every.join(again, "h", "left_semi").select("h", "t", "n")), "merged")
+        kinds = written(merged.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
         out = merged.join(kinds, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
         out = written(out.filter("n > 1 or kinds > 1"), "repeated")
-        release(out.sparkSession, merged, *self.levels.values(), *self.hits)
+        release(out.sparkSession, again, merged, kinds, *self.levels.values(), *self.hits)
         self.levels, self.hits = {}, []
         return out
 
