@@ -19,6 +19,8 @@ from txgauge.llm.common import WORD, cut, filled
 
 _Z, _K, _B, _SRC = "__mx_size", "__mx_key", "__mx_bucket", "__mx_source"
 ADDED = ("size", "source_size", "target", "taken")
+#: Sources up to which what is known of them is broadcast.
+MOST_BROADCAST = 50_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -80,6 +82,7 @@ def mixed(
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_epochs))).otherwise(0)
     goals = goals.withColumn("epochs", whole.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     goals = cut(goals)
+    few = goals.count() <= MOST_BROADCAST
     running = Window.partitionBy(_SRC).orderBy(_B)
     ends = (
         _on_source(sums.withColumn("cum", F.sum("z").over(running)), goals.filter("rest > 0"))
@@ -88,7 +91,7 @@ def mixed(
         .agg(F.min(F.struct(_B, F.col("cum") - F.col("z"), "rest")).alias("e"))
         .select(_SRC, F.col("e")[_B].alias("end_bucket"), F.col("e")["col2"].alias("before"), F.col("e")["rest"].alias("rest"))
     )
-    inside = _on_source(narrow, ends).filter(F.col(_B) == F.col("end_bucket"))
+    inside = _on_source(narrow, ends, few=few).filter(F.col(_B) == F.col("end_bucket"))
     reach = F.sum(_Z).over(Window.partitionBy(_SRC).orderBy(_K).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     inside = inside.withColumn("off", F.abs(F.col("before") + reach - F.col("rest")))
     best = (
@@ -96,10 +99,10 @@ def mixed(
         .agg(F.min(F.struct("off", _K)).alias("m"))
         .select(_SRC, "end_bucket", F.when(F.col("m.off") < F.col("rest") - F.col("before"), F.col(f"m.{_K}")).otherwise(-1.0).alias("end_key"))
     )
-    plan = _on_source(goals, best, "left").drop("rest")
+    plan = _on_source(goals, best, "left", few).drop("rest")
     names = ["source_size", "target", "epochs", "end_bucket", "end_key"]
     plan = cut(plan.select(F.col(_SRC), *[F.col(c).alias(f"__mx_{c}") for c in names]))
-    out = _on_source(full, plan)
+    out = _on_source(full, plan, few=few)
     extra = (F.col(_B) < F.col("__mx_end_bucket")) | ((F.col(_B) == F.col("__mx_end_bucket")) & (F.col(_K) <= F.col("__mx_end_key")))
     times = F.col("__mx_epochs") + F.when(extra, 1).otherwise(0)
     columns = [c for c in docs.columns if c not in ADDED]
@@ -112,9 +115,10 @@ def mixed(
     )
 
 
-def _on_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Joined on the source, null being one; the right side's size decides whether it is broadcast."""
+def _on_source(left: DataFrame, right: DataFrame, how: str = "inner", few: bool = False) -> DataFrame:
+    """Joined on the source, null being one, with a row for each source at most, broadcast if these were counted to be few."""
     r = right.withColumnRenamed(_SRC, "__mx_right")
+    r = F.broadcast(r) if few else r
     return left.join(r, F.col(_SRC).eqNullSafe(F.col("__mx_right")), how).drop("__mx_right")
 
 
