@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txgauge.functions import alignment as A
 from txgauge.functions.score import contig_score
+from txgauge.session import spread
 
 LETTERS, CODE = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 N_REFS = 25
@@ -20,7 +21,7 @@ def contigs(spark: SparkSession, sf_dir: str, code: bool = False) -> DataFrame:
     """(contig_idx, name, seq, length) of the documents; with code, letters become bases."""
     seq = F.coalesce("text", F.lit(""))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("contig_idx"), F.col("doc_id").cast("string").alias("name"), (F.translate(seq, LETTERS, CODE) if code else seq).alias("seq"))
-    return d.withColumn("length", F.length("seq"))
+    return spread(d).withColumn("length", F.length("seq"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,9 @@ def session(master: str | None = None, name: str = "txgauge", **more: str) -> Sp
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its known number of rows is small, else as it is: Spark then sorts or splits skew."""
     return F.broadcast(df) if rows <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer partitions than there are cores, which only small inputs have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
