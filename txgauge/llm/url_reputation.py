@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import ascii_lower
+from txgauge.llm.common import ascii_lower, cut
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -69,12 +69,13 @@ def _shrunk(level: DataFrame) -> DataFrame:
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """host, n, bad, bad_rate, bad_bound from rows (host, n, bad), one a host, of all hosts to be judged."""
-    d = outcomes.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domains = d.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # each level is read twice, for its rho and for its rows: written, it is computed once
+    d = cut(outcomes).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    domains = cut(d.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     bad, n = F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
     top = suffixes.agg((bad + 0.5).alias("pa"), (n - bad + 0.5).alias("pb"))
-    parent = lambda x, key: x.select(key, F.col("alpha").alias("pa"), F.col("beta").alias("pb"))
+    parent = lambda x, key: cut(x.select(key, F.col("alpha").alias("pa"), F.col("beta").alias("pb")))
     s = parent(_shrunk(suffixes.crossJoin(F.broadcast(top))), "suffix")  # one row
     g = parent(_shrunk(domains.join(s, "suffix")), "domain")
     h = _shrunk(d.join(g, "domain"))
