@@ -192,10 +192,13 @@ def linked(fps: DataFrame, distance: int = 2, small: int = SMALL) -> DataFrame:
         paths = nexts
 
 
-def near_groups(rows: DataFrame, id_cols: Sequence[str], distance: int = 2) -> DataFrame:
-    """rows (id columns, __fp) with __min: the struct of the id columns that is smallest in the row's component."""
+def near_groups(rows: DataFrame, id_cols: Sequence[str], distance: int = 2, edges: DataFrame | None = None) -> DataFrame:
+    """rows (id columns, __fp) with __min: the struct of the id columns that is smallest in the row's component.
+
+    Components are those of `edges` (a, b) between the __fp, by default of links within the distance.
+    """
     nodes = cut(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(F.struct(*id_cols)).alias("least")))
-    roots = components(linked(nodes.select("fp"), distance))
+    roots = components(linked(nodes.select("fp"), distance) if edges is None else edges)
     known = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = cut(known)
     best = known.groupBy("root").agg(F.min("least").alias("__min"))
