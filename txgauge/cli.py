@@ -1,4 +1,4 @@
-"""Command line: assess assemblies, compare runs, compare picks."""
+"""Command line: assess assemblies, compare runs, compare picks; jobs, results and headers of many assemblies."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from txgauge import tools
-from txgauge.plans import assess, reports
+from txgauge.plans import assess, fleet, reports
 from txgauge.session import session
 from txgauge.sources import tables
 
@@ -46,6 +46,19 @@ def parser() -> argparse.ArgumentParser:
     of.add_argument("--groups")
     of.add_argument("--orthogroups")
     g.add_argument("--out-prefix")
+    m = sub.add_parser("manifest", help="list the jobs of a tree of pairs")
+    m.add_argument("folder")
+    m.add_argument("--out", help="by default manifest.tsv in the folder")
+    m.add_argument("--allow-multi-run", action="store_true")
+    m.add_argument("--skip-done", action="store_true")
+    r = sub.add_parser("collect", help="merge the metrics of all results of a tree")
+    r.add_argument("folder")
+    r.add_argument("--out")
+    r.add_argument("--pairs-csv")
+    r.add_argument("--contigs", action="store_true", help="also merge the tables of contigs")
+    n = sub.add_parser("normalise", help="shorten the headers of an archive's assembly")
+    n.add_argument("fasta")
+    n.add_argument("out")
     return p
 
 
@@ -80,7 +93,20 @@ def main(argv: list[str] | None = None) -> int:
         p.error("comparison with reference proteins is not supported")
     if args.what == "assess" and args.right and not args.left:
         p.error("--right needs --left")
+    if args.what == "manifest":
+        n, skipped = fleet.make_manifest(args.folder, args.out or f"{args.folder}/manifest.tsv", args.allow_multi_run, args.skip_done)
+        for name, why in skipped:
+            print(f"left out {name}: {why}")
+        print(f"{n} jobs")
+        return 0
     spark = session(args.master)
+    if args.what == "collect":
+        for name in fleet.collect(spark, args.folder, args.out, args.pairs_csv, args.contigs):
+            print(f"no result yet: {name}")
+        return 0
+    if args.what == "normalise":
+        print(f"{fleet.normalise(spark, args.fasta, args.out)} contigs")
+        return 0
     if args.what == "assess":
         return from_reads(spark, args) if args.right and not args.bam else assessed(spark, args)
     if args.what == "picks":
@@ -101,6 +127,7 @@ def main(argv: list[str] | None = None) -> int:
             for t in (r.assembly_validity, r.contig_validity, r.deltas, r.decomposition, r.paired, r.agreement, r.discordance):
                 if t is not None:
                     t.show(100, truncate=False)
+            print(r.summary)
     return int(not valid)
 
 

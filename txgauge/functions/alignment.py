@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, READ1, READ2, SECONDARY, SUPPLEMENTARY = 1, 2, 4, 8, 16, 32, 64, 128, 256, 2048
 # fixed values: CIGAR operations by number
 M, I, D, N, S, H, P, EQ, X = range(9)  # noqa: E741
+LETTERS = "MIDNSHP=X"
 
 ERROR_RATE, ORPHAN_FRACTION, PSEUDOCOUNT = 0.01, 0.15, 1e-3
 
@@ -58,6 +59,26 @@ def prior(eff_count: Column) -> Column:
     return F.coalesce(eff_count, F.lit(0.0)) + PSEUDOCOUNT
 
 
+def parse_cigar(text: Column) -> Column:
+    """Operations of a CIGAR as text, in order; none for *."""
+    one = lambda x: F.struct((F.position(F.right(x, F.lit(1)), F.lit(LETTERS)) - 1).cast("int").alias("op"), F.substring(x, F.lit(1), F.length(x) - 1).cast("int").alias("len"))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"[0-9]+[{LETTERS}]"), F.lit(0)), one)
+
+
+def _consumed(cigar: Column, ops: tuple[int, ...]) -> Column:
+    return F.aggregate(F.filter(cigar, lambda c: c["op"].isin(*ops)), F.lit(0).cast("long"), lambda z, c: z + c["len"])
+
+
+def query_length(cigar: Column) -> Column:
+    """Bases of the read that the operations use; a record whose sequence has another length is malformed."""
+    return _consumed(cigar, (M, I, S, EQ, X))
+
+
+def reference_length(cigar: Column) -> Column:
+    """Bases of the reference from the first to the last."""
+    return _consumed(cigar, (M, D, N, EQ, X))
+
+
 def covered_blocks(pos: Column, cigar: Column, ref_length: Column) -> Column:
     """Half-open reference blocks under M, = and X, clipped to the reference; deletions and skips only move on."""
     none = F.array().cast("array<struct<start: int, end: int>>")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from txgauge.functions.values import verdict
 from txgauge.operators.assembly_stats import BASIC, COMPOSITION, NX
+from txgauge.session import small
 
 SEQUENCE_KEYS = (*BASIC, *(f"n{p}" for p in NX), *COMPOSITION)
 CONTIG_SEQUENCE_KEYS = ("length", "prop_gc", "orf_length")
@@ -126,20 +127,24 @@ def paired_summary(base: DataFrame, other: DataFrame, keys: Sequence[str] = CONT
     return d.agg(F.array(*out).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def rank_discordance(base: DataFrame, other: DataFrame, n_contigs: int, pairs: int = 2_000_000, key: str = "contig_idx") -> DataFrame:
-    """discordance, ties over a fixed set of pairs of contigs: how often the runs order two contigs oppositely.
+def rank_discordance(base: DataFrame, other: DataFrame, n_contigs: int, pairs: int = 2_000_000, key: str = "contig_idx", exact: int = 3_000) -> DataFrame:
+    """discordance, ties over pairs of contigs: how often the runs order two contigs oppositely.
 
-    Contigs are numbered 0 to n_contigs - 1 in `key`. The pairs come from a linear congruence, so the result does not
-    change between runs; at two million the standard error is under 0.05 percent points. Pairs that either run ties are
-    left out of discordance. Both are null under two contigs or if all pairs tie.
+    Contigs are numbered 0 to n_contigs - 1 in `key`. Up to `exact` contigs all pairs are taken; of more, as many as
+    `pairs` says, drawn by a hash of their number, so the result does not change between runs; at two million the
+    standard error is under 0.05 percent points. Pairs that either run ties are left out of discordance. Both are null
+    under two contigs or if all pairs tie.
     """
     spark = base.sparkSession
     s = base.select(F.col(key).alias("k"), F.col("score").cast("double").alias("b")).join(other.select(F.col(key).alias("k"), F.col("score").cast("double").alias("o")), "k")
     n = max(n_contigs, 1)
-    i = (F.col("id") * 48271 + 11) % n
-    j = (F.col("id") * 69621 + F.floor(F.col("id") / n) * 31 + 7) % n
-    drawn = spark.range(pairs).select(i.alias("i"), j.alias("j")).filter("i <> j")
-    d = drawn.join(s.toDF("i", "bi", "oi"), "i").join(s.toDF("j", "bj", "oj"), "j")
+    if n <= exact:
+        drawn = spark.range(n * n).select(F.floor(F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j")).filter("i < j")
+    else:
+        h = F.md5(F.col("id").cast("string"))
+        part = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("long") % n
+        drawn = spark.range(pairs).select(part(1).alias("i"), part(17).alias("j")).filter("i <> j")
+    d = drawn.join(small(s.toDF("i", "bi", "oi"), n), "i").join(small(s.toDF("j", "bj", "oj"), n), "j")
     x, y = F.signum(F.col("bi") - F.col("bj")), F.signum(F.col("oi") - F.col("oj"))
     free = (x != 0) & (y != 0)
     t = d.agg(F.count(F.lit(1)).alias("n"), F.count_if(free).alias("free"), F.count_if(free & (x != y)).alias("against"))
@@ -164,6 +169,6 @@ def rank_agreement(base: DataFrame, other: DataFrame, base_cutoff: float, other_
 def summary(base: DataFrame, other: DataFrame, base_contigs: DataFrame, other_contigs: DataFrame, n_contigs: int, pairs: int = 2_000_000) -> DataFrame:
     """d_score, d_goodrate, d_geomean, pearson, rank_disc: one row."""
     parts = decomposition(base, other).select(F.col("total").alias("d_score"), F.col("from_rate").alias("d_goodrate"), F.col("from_contigs").alias("d_geomean"))
-    r = rank_agreement(base_contigs, other_contigs, 0.0, 0.0).select("pearson")
+    r = _paired(base_contigs, other_contigs, ["score"]).agg(F.corr("b_score", "o_score").alias("pearson"))
     x = rank_discordance(base_contigs, other_contigs, n_contigs, pairs).select(F.col("discordance").alias("rank_disc"))
     return parts.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(x))  # one row each

@@ -50,18 +50,21 @@ def estimate(pairs: DataFrame, limit: int = PAIRS, faithful: bool = True) -> Dat
     return held.select(_recurrence(F.col("a")["size"]).alias("realistic_distance"), F.size("a").cast("long").alias("n_pairs"))
 
 
-def realistic_distance(alignments: DataFrame, limit: int = PAIRS, faithful: bool = True) -> int:
-    """The estimate over alignments (ord, qname, flag, pos, query_len, next_pos).
+def first_pairs(alignments: DataFrame, limit: int = PAIRS) -> DataFrame:
+    """(ord, size) of at least the first `limit` accepted pairs of alignments (ord, qname, flag, pos, query_len, next_pos).
 
     Only the head of the file is read: up to four records a pair wanted, and eight times as many whenever these do
-    not hold enough pairs. A file sorted by place has no neighbouring mates and gives 0.
+    not hold enough pairs.
     """
     use = alignments.filter(~A.has(F.col("flag"), A.SECONDARY | A.SUPPLEMENTARY))
-    last = alignments.agg(F.max("ord")).first()[0]
-    reach = 4 * limit
+    last, reach = alignments.agg(F.max("ord")).first()[0], 4 * limit
     while True:
         pairs = _pairs(use.filter(F.col("ord") < reach))
-        row = estimate(pairs, limit, faithful).first()
-        if last is None or row["n_pairs"] >= limit or reach > last:
-            return row["realistic_distance"]
+        if last is None or reach > last or pairs.limit(limit).count() >= limit:
+            return pairs
         reach *= 8
+
+
+def realistic_distance(alignments: DataFrame, limit: int = PAIRS, faithful: bool = True) -> int:
+    """The estimate over alignments, see first_pairs. A file sorted by place has no neighbouring mates and gives 0."""
+    return estimate(first_pairs(alignments, limit), limit, faithful).first()["realistic_distance"]

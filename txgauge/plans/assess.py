@@ -14,6 +14,7 @@ from txgauge.functions import alignment as A
 from txgauge.functions import score as S
 from txgauge.operators import accumulation, assembly_stats, assignment, coverage, fragment_size, rollup, scoring, segmentation
 from txgauge.sources import bam, fasta, sinks, tables
+from txgauge.session import shared_folder
 from txgauge.sources.files import without_gzip_suffix
 
 log = logging.getLogger(__name__)
@@ -105,11 +106,13 @@ def run(
     left: str | None = None,
     fragments: int | None = None,
     settings: Settings = Settings(),
+    work: str | None = None,
 ) -> list[dict[str, object]]:
     """Assess assemblies and write contigs.csv and the curve of each, and assemblies.csv last, into output.
 
     fragments, the number of read pairs, is counted in left if it is not given. With several assemblies, each has its
-    folder within output. A folder with an assemblies.csv is not written over.
+    folder within output. A folder with an assemblies.csv is not written over. Decoded alignments go to work, a folder
+    that all machines share; by default spark.checkpoint.dir, or output itself where the session is local.
     """
     out = Path(output).absolute()
     if (out / "assemblies.csv").exists():
@@ -139,7 +142,8 @@ def run(
         if reads:
             if not bam.is_complete(bam_paths[i]):
                 raise bam.MalformedBam(f"{bam_paths[i]} ends early")
-            alignments, refs = bam.to_parquet(spark, bam_paths[i], f"file://{to}/alignments.parquet")
+            place = work or (f"file://{to}" if spark.sparkContext.master.startswith("local[") else shared_folder(spark))
+            alignments, refs = bam.to_parquet(spark, bam_paths[i], f"{place}/{names[i]}.alignments.parquet")
             expression = None
             if quant_paths is not None:
                 if problem := tables.quant_problem(quant_paths[i], refs.count()):

@@ -162,7 +162,7 @@ SELECT *, round(coalesce(100 * clipped_alignments / nullif(alignments, 0), 0), 6
 _FRAG = """
 rec AS (
   SELECT event_id AS ord, event_id // 2 AS q, ((user_id * 37 + event_id * 11) % 500)::INT AS pos, event_id % 2 = 0 AS first, event_id % 17 = 0 AS un
-  FROM events WHERE event_id % 23 <> 0 AND event_id < 40000),
+  FROM events WHERE event_id % 23 <> 0),
 pairs AS (
   SELECT *, CASE WHEN un THEN -1 ELSE pos END AS p1, lag(q) OVER (ORDER BY ord) AS q0, lag(CASE WHEN un THEN -1 ELSE pos END) OVER (ORDER BY ord) AS p0,
     pos + CASE WHEN first THEN 150 ELSE -150 END AS mate FROM rec),
@@ -247,7 +247,7 @@ def _differ(k: str) -> str:
 
 
 ORACLES["compare_validity"] = f"""
-WITH {_A}, {_B}, o AS (SELECT * FROM b WHERE k % 50 <> 49)
+WITH {_A}, {_B}, o AS (SELECT * REPLACE (CASE WHEN k % 50 = 49 THEN 'x' || contig_name ELSE contig_name END AS contig_name) FROM b)
 {" UNION ALL ".join(_differ(k) for k in ("length", "prop_gc", "orf_length"))}
 UNION ALL SELECT 'contig_set', count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL), count(*) FILTER (a.k IS NULL OR b.k IS NULL), 0 FROM a FULL JOIN o b USING (contig_name)
 """
@@ -295,7 +295,10 @@ SELECT round(corr(x, y), 6) AS pearson, count(*) FILTER (ga AND gb) AS both_good
 """
 ORACLES["compare_discordance"] = f"""
 WITH {_A}, {_B}, j AS (SELECT a.k, a.score AS x, b.score AS y FROM a JOIN b USING (k)), n AS (SELECT count(*) AS n FROM a),
-p AS (SELECT (id * 48271 + 11) % n AS i, (id * 69621 + (id // n) * 31 + 7) % n AS j FROM range(200000) r(id), n WHERE i <> j),
+r AS (SELECT n, unnest(range(CASE WHEN n <= 3000 THEN n * n ELSE 2000000 END)) AS id FROM n),
+h AS (SELECT n, id, CASE WHEN n > 3000 THEN md5(id::VARCHAR) END AS h FROM r),
+p AS (SELECT CASE WHEN n <= 3000 THEN id // n ELSE ('0x' || substr(h, 1, 15))::BIGINT % n END AS i, CASE WHEN n <= 3000 THEN id % n ELSE ('0x' || substr(h, 17, 15))::BIGINT % n END AS j FROM h
+  WHERE CASE WHEN n <= 3000 THEN i < j ELSE i <> j END),
 d AS (SELECT sign(u.x - v.x) AS dx, sign(u.y - v.y) AS dy FROM p JOIN j u ON u.k = p.i JOIN j v ON v.k = p.j)
 SELECT round(count(*) FILTER (dx * dy < 0) / nullif(count(*) FILTER (dx * dy <> 0), 0), 6)::DOUBLE AS discordance, round(1 - count(*) FILTER (dx * dy <> 0) / count(*), 6)::DOUBLE AS ties FROM d
 """
@@ -332,3 +335,24 @@ FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT c_na
 ORACLES["missing_jobs"] = """
 SELECT DISTINCT c_custkey::VARCHAR AS pair_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL)
 """
+ORACLES["fasta_records"] = f"""
+WITH c AS (SELECT doc_id, translate({DNA}, chr(10) || chr(13) || chr(9) || ' >', 'NNNNN') AS s FROM documents)
+SELECT doc_id::VARCHAR AS name, length(CASE WHEN s = '' THEN 'N' ELSE s END)::BIGINT AS length, md5(CASE WHEN s = '' THEN 'N' ELSE s END) AS seq_md5 FROM c
+"""
+ORACLES["quant_table"] = "SELECT s_name AS name, (s_suppkey % 5000)::INT AS length, s_suppkey % 900 AS eff_len, 12.5::DOUBLE AS tpm, s_suppkey::DOUBLE AS eff_count FROM supplier"
+ORACLES["manifest_table"] = "SELECT c_name AS pair_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 4 + 1 END AS n_read_pairs FROM customer"
+ORACLES["orthogroup_lines"] = """
+WITH g AS (SELECT s_nationkey, replace(string_agg(s_name, ',' ORDER BY s_name), '#', '') AS members, count(*) AS size, row_number() OVER (ORDER BY s_nationkey) AS r FROM supplier GROUP BY 1)
+SELECT r || '.groups' AS label, size, members FROM g WHERE s_nationkey <> 3
+"""
+ORACLES["score_columns"] = f"WITH {_A} SELECT contig_name AS name, round(score, 6) AS score FROM a WHERE k % 9 <> 0"
+ORACLES["run_summary"] = f"""
+SELECT d.total AS d_score, d.from_rate AS d_goodrate, d.from_contigs AS d_geomean, r.pearson, x.discordance AS rank_disc
+FROM ({ORACLES["compare_decomposition"]}) d, ({ORACLES["compare_rank"]}) r, ({ORACLES["compare_discordance"]}) x
+"""
+ORACLES["alignment_lines"] = """
+WITH g AS (SELECT l_orderkey AS f, (l_suppkey % 25)::INT AS ref_id, (l_linenumber % 2)::INT AS mate FROM lineitem GROUP BY ALL),
+d AS (SELECT ref_id, f % 6 AS kind, (f * 64 + ref_id * 2 + mate) % 50 <> 0 AS fits FROM g)
+SELECT ref_id, count(*) FILTER (fits) AS records, count(*) FILTER (NOT fits) AS skipped, sum(CASE WHEN kind IN (3, 4) THEN 10 ELSE 0 END) FILTER (fits)::BIGINT AS clipped,
+  sum(CASE kind WHEN 0 THEN 100 WHEN 1 THEN 110 WHEN 5 THEN 120 ELSE 90 END) FILTER (fits)::BIGINT AS covered FROM d GROUP BY ref_id
+"""

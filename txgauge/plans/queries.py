@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from txgauge.functions import score as S
 from txgauge.functions import sequence
 from txgauge.operators import accumulation, assembly_stats, assignment, comparison, coverage, fleet, fragment_size, picks, rollup, scoring, segmentation
 from txgauge.plans import surrogates as X
+from txgauge.session import shared_folder
+from txgauge.sources import fasta, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,14 +149,12 @@ def soft_clip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fragment_size_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use = X.ordered_records(spark, sf_dir).filter(~A.has(F.col("flag"), A.SECONDARY | A.SUPPLEMENTARY))
-    return fragment_size.estimate(fragment_size._pairs(use.filter(F.col("ord") < 4 * fragment_size.PAIRS)))
+    return fragment_size.estimate(fragment_size.first_pairs(X.ordered_records(spark, sf_dir)))
 
 
 @query
 def fragment_size_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use = X.ordered_records(spark, sf_dir).filter(~A.has(F.col("flag"), A.SECONDARY | A.SUPPLEMENTARY))
-    return fragment_size.estimate(fragment_size._pairs(use.filter(F.col("ord") < 4 * fragment_size.PAIRS)), faithful=False)
+    return fragment_size.estimate(fragment_size.first_pairs(X.ordered_records(spark, sf_dir)), faithful=False)
 
 
 # scores
@@ -225,7 +226,9 @@ def _assembly_row(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
 
 @query
 def compare_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.contig_validity(X.scored_contigs(spark, sf_dir), X.scored_contigs(spark, sf_dir, 1).filter("contig_idx % 50 <> 49"))
+    """Run 1 has other names for some contigs."""
+    name = F.when(F.col("contig_idx") % 50 == 49, F.concat(F.lit("x"), "contig_name")).otherwise(F.col("contig_name"))
+    return comparison.contig_validity(X.scored_contigs(spark, sf_dir), X.scored_contigs(spark, sf_dir, 1).withColumn("contig_name", name))
 
 
 @query
@@ -257,7 +260,7 @@ def compare_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compare_discordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = X.scored_contigs(spark, sf_dir)
-    return comparison.rank_discordance(a, X.scored_contigs(spark, sf_dir, 1), a.count(), pairs=200_000)
+    return comparison.rank_discordance(a, X.scored_contigs(spark, sf_dir, 1), a.count())
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +269,9 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str, run: int) -> DataFrame:
-    d = X.scored_contigs(spark, sf_dir, run).filter(F.col("contig_idx") % (11 + run) != 0)
-    return picks.best_scores(d.select(F.col("contig_name").alias("name"), "score"))
+    """Scores of a run, null for some contigs."""
+    d = X.scored_contigs(spark, sf_dir, run)
+    return picks.best_scores(d.select(F.col("contig_name").alias("name"), F.when(F.col("contig_idx") % (11 + run) != 0, F.col("score")).alias("score")))
 
 
 @query
@@ -308,3 +312,78 @@ def missing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.missing_jobs(c, o)
 
 
+
+
+# sources and sinks: lines made from the tables, written to the shared folder, and read as files
+
+
+def _written(lines: DataFrame, spark: SparkSession) -> str:
+    """The folder of a text file of lines (value) in the order of `at`."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packed in lines of 60 letters behind headers of an archive; read back."""
+    c = X.contigs(spark, sf_dir, code=True).select("contig_idx", F.regexp_replace(F.translate("seq", "\n\r\t >", "NNNNN"), r"^$", "N").alias("s"))
+    folded = F.rtrim(F.regexp_replace("s", "(.{60})", "$1\n"), F.lit("\n"))
+    head = F.concat(F.lit(">ENA|"), F.col("contig_idx"), F.lit("|"), F.col("contig_idx"), F.lit(".1 a contig;"))
+    path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
+    c.select(F.concat_ws("\n", head, folded).alias("value")).coalesce(1).write.text(path)
+    return fasta.read_plain(spark, path).select(fasta.archive_name(F.col("defline")).alias("name"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("seq_md5"))
+
+
+@query
+def quant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.table(spark, sf_dir, "supplier")
+    row = F.concat_ws("\t", "s_name", (F.col("s_suppkey") % 5000).cast("string"), F.concat((F.col("s_suppkey") % 900).cast("string"), F.lit(".75")), F.lit("12.5"), F.col("s_suppkey").cast("string"))
+    lines = s.select(F.col("s_suppkey").alias("at"), row.alias("value")).union(spark.createDataFrame([(-1, "Name\tLength\tEffectiveLength\tTPM\tNumReads")], "a long, b string"))
+    return tables.read_quant(spark, _written(lines, spark))
+
+
+@query
+def manifest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = X.table(spark, sf_dir, "customer")
+    reads = F.array_join(F.array_repeat(F.lit("r_1.fastq"), (F.col("c_custkey") % 4 + 1).cast("int")), ",")
+    value = F.when(F.col("c_custkey") % 7 == 0, F.concat_ws("\t", "c_name", F.lit("a.fa"))).otherwise(F.concat_ws("\t", F.col("c_name"), F.lit("a.fa"), reads, F.lit("x")))
+    return tables.read_manifest(spark, _written(c.select(F.col("c_custkey").alias("at"), value.alias("value")), spark))
+
+
+@query
+def orthogroup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' suppliers as lines of groups, one empty line among them; members joined by commas."""
+    s = X.table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("s_name")), " ").alias("m"))
+    lines = s.select(F.col("s_nationkey").cast("long").alias("at"), F.when(F.col("s_nationkey") == 3, "").otherwise(F.concat(F.lit("OG: "), F.regexp_replace("m", "#", ""))).alias("value"))
+    return tables.read_orthogroups(spark, _written(lines, spark)).select("label", F.size("members").cast("long").alias("size"), F.array_join("members", ",").alias("members"))
+
+
+@query
+def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the place of their column, some of them no numbers."""
+    p = X.scored_contigs(spark, sf_dir)
+    score = F.when(F.col("contig_idx") % 9 == 0, "n/a").otherwise(F.round("score", 6).cast("string"))
+    d = p.select("contig_name", *[F.lit(i).alias(f"c{i}") for i in range(1, 8)], score.alias("score"), F.lit("more").alias("last"))
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    d.coalesce(1).write.csv(path, header=True)
+    return tables.read_scores(spark, path)
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the SUMMARY line says."""
+    a, b = X.scored_contigs(spark, sf_dir), X.scored_contigs(spark, sf_dir, 1)
+    return comparison.summary(_assembly_row(spark, sf_dir, 0), _assembly_row(spark, sf_dir, 1), a, b, a.count())
+
+
+@query
+def alignment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as text with CIGAR strings, parsed: lengths on query and reference, soft clips; those that do not fit are counted apart."""
+    a = X.alignments(spark, sf_dir)
+    text = F.array_join(F.transform("cigar", lambda o: F.concat(o["len"].cast("string"), F.substring(F.lit(A.LETTERS), o["op"] + 1, 1))), "")
+    lines = a.select("fragment_idx", "ref_id", text.alias("cigar"), (F.lit(100) - F.when(F.col("ord") % 50 == 0, 1).otherwise(0)).alias("n"))
+    ops = lines.withColumn("ops", A.parse_cigar(F.col("cigar")))
+    d = ops.select("ref_id", A.query_length(F.col("ops")).alias("q"), "n", A.clipped_bases(F.col("ops")).alias("clipped"), A.reference_length(F.col("ops")).alias("r"))
+    fits = F.col("q") == F.col("n")
+    return d.groupBy("ref_id").agg(F.count_if(fits).alias("records"), F.count_if(~fits).alias("skipped"), F.sum(F.when(fits, F.col("clipped"))).alias("clipped"), F.sum(F.when(fits, F.col("r"))).alias("covered"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,36 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer partitions than there are cores, which only small inputs have."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """df dealt over all cores if Spark's statistics say it is small: one file of a few MB is one task otherwise.
+
+    The bound is in bytes, whatever the number of cores, so no large scan is ever shuffled by this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, spark.checkpoint.dir; only a local session may do without, in a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or f"file://{tempfile.gettempdir()}/checkpoints"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, scanned from one file, with the number of each row from 0 in the order of the file.
+
+    Rows are counted by block of the file; a block's rows are numbered by what stands before it. The table of blocks
+    has a row for each split.
+    """
+    d = df.withColumns({"__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    sizes = d.groupBy("__block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).orderBy("__block").collect()
+    starts, before = [], 0
+    for r in sizes:
+        starts.append((r["__block"], r["first"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "__b long, __first long, __before long")
+    d = d.join(F.broadcast(offsets), F.col("__block") == F.col("__b"))
+    return d.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before")).alias(name))

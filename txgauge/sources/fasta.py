@@ -1,8 +1,9 @@
-"""FASTA files as a data source: one task a file, in the order of the file, gzip or plain."""
+"""FASTA files: plain ones by Spark's text reader, split anywhere at the start of a record; packed ones by a data source, one task a file."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from txgauge.operators.assembly_stats import duplicate_names
-from txgauge.sources.files import open_text
+from txgauge.session import numbered
+from txgauge.sources.files import is_packed, open_text
 
 _BATCH = 4096
 _SCHEMA = "file string, contig_idx long, defline string, seq string"
@@ -78,10 +80,34 @@ class FastaSource(DataSource):
         return _Reader(self.options.get("paths", self.options.get("path", "")).split("\n"))
 
 
+def parse_records(d: DataFrame) -> DataFrame:
+    """d with defline and seq instead of value: a record's text behind its >, lines ended in any way, white space around them."""
+    parts = F.split("value", "\n", 2)
+    seq = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"[ \t\r]*(?:\n[ \t\r\n]*|$)", "")
+    return d.select(*[c for c in d.columns if c != "value"], F.rtrim(parts[0], F.lit("\r")).alias("defline"), F.ltrim(seq).alias("seq"))
+
+
+def read_plain(spark: SparkSession, path: str) -> DataFrame:
+    """(file, contig_idx, defline, seq) of one file that is not packed; what stands before the first > is ignored."""
+    text = spark.read.option("lineSep", "\n>").text(path).withColumn("__start", F.col("_metadata.file_block_start"))
+    d = numbered(spark.read.option("lineSep", "\n>").text(path), "__n")
+    first = text.filter("__start = 0").select("value").first()
+    headless = bool(first) and not first["value"].startswith(">")  # then the file's first piece is no record
+    d = d.filter("__n > 0") if headless else d.withColumn("value", F.when(F.col("__n") == 0, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
+    return parse_records(d.select(F.lit(path).alias("file"), (F.col("__n") - int(headless)).alias("contig_idx"), "value"))
+
+
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, contig_idx, defline, name, seq, length). name is the first word of defline without trailing semicolons."""
-    spark.dataSource.register(FastaSource)
-    d = spark.read.format("fasta").option("paths", "\n".join(map(str, paths))).load()
+    """(file, contig_idx, defline, name, seq, length). name is the first word of defline without trailing semicolons.
+
+    contig_idx counts from 0 in each file.
+    """
+    packed = [p for p in map(str, paths) if is_packed(p)]
+    parts = [read_plain(spark, p) for p in map(str, paths) if p not in packed]
+    if packed:
+        spark.dataSource.register(FastaSource)
+        parts.append(spark.read.format("fasta").option("paths", "\n".join(packed)).load())
+    d = reduce(DataFrame.unionByName, parts)
     name = F.rtrim(F.regexp_extract("defline", r"\S+", 0), F.lit(";"))
     seq = F.translate("seq", "\0", "")
     return d.select("file", "contig_idx", "defline", name.alias("name"), seq.alias("seq"), F.length(seq).alias("length"))
@@ -108,6 +134,14 @@ def count_contigs(path: str) -> int:
         return sum(line.startswith(">") for line in f)
 
 
+def with_archive_names(contigs: DataFrame) -> DataFrame:
+    """contigs with name by archive_name of their defline; raises if that makes two alike."""
+    d = contigs.withColumn("name", archive_name(F.col("defline")))
+    for r in duplicate_names(d).take(1):
+        raise ValueError(f"contigs would have the name {r['name']!r} {r['n']} times")
+    return d
+
+
 def archive_name(defline):
     """Column: the middle part of an ENA|..|.. identifier; other pipes become underscores."""
     word = F.regexp_extract(defline, r"\S+", 0)

@@ -23,6 +23,11 @@ def is_gzip(path: str | os.PathLike) -> bool:
         return False
 
 
+def is_packed(path: str | os.PathLike) -> bool:
+    """Packed by content, or named so that readers which go by the name would unpack it."""
+    return is_gzip(path) or Path(path).suffix.lower() in (*SUFFIXES, ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
 def open_bytes(path: str | os.PathLike) -> IO[bytes]:
     return gzip.open(path, "rb") if is_gzip(path) else open(path, "rb")
 

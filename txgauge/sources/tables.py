@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txgauge.operators.fleet import stacked
+from txgauge.session import numbered
 from txgauge.sources.files import open_bytes, open_text
 
 QUANT = "name string, length int, eff_len long, tpm double, eff_count double"
 READS = 5_000
-ASSEMBLY_SUFFIXES = (".fasta.gz", ".fasta", ".fa", ".fa.gz", ".fsa_nt.gz", ".fsa_nt", ".gz")
+# fixed values: how names of assembly files end; whatever is packed counts too
+ASSEMBLY_SUFFIXES = (".fa", ".fasta", ".fsa_nt", ".gz")
 
 
 # expression
@@ -42,12 +44,12 @@ def quant_problem(path: str, references: int | None = None) -> str | None:
     return None
 
 
-def read_quant(spark: SparkSession, path: str) -> DataFrame:
-    """(name, length, eff_len, tpm, eff_count) of a table of estimates; effective lengths are cut to whole numbers.
+def parse_quant(lines: DataFrame) -> DataFrame:
+    """(name, length, eff_len, tpm, eff_count) of lines (value) of a table of estimates; effective lengths are cut to whole numbers.
 
     Rows without just five fields raise when they are read.
     """
-    t = spark.read.text(path).filter("trim(value) <> ''").withColumn("f", F.split("value", "\t"))
+    t = lines.filter("trim(value) <> ''").withColumn("f", F.split("value", "\t"))
     head = F.col("f")[0] == "Name"
     bad = F.raise_error(F.concat(F.lit("not five fields: "), F.col("value")))
     f = F.when(F.size("f") == 5, F.col("f")).otherwise(bad.cast("array<string>"))
@@ -56,6 +58,11 @@ def read_quant(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_quant(spark: SparkSession, path: str) -> DataFrame:
+    """parse_quant of a file."""
+    return parse_quant(spark.read.text(path))
+
+
 # reads
 
 
@@ -83,14 +90,14 @@ def count_reads(paths: str) -> tuple[int, list[str]]:
 # runs
 
 
-def _csv(spark: SparkSession, *paths: str, sep: str = ",", header: bool = True) -> DataFrame:
+def scan_csv(spark: SparkSession, *paths: str, sep: str = ",", header: bool = True) -> DataFrame:
     """Text values; multiline fields and doubled quotes as the usual writers leave them."""
     return spark.read.csv(list(map(str, paths)), sep=sep, header=header, quote='"', escape='"')
 
 
 def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(assemblies, contigs) of a result folder; one assembly only."""
-    a, c = _csv(spark, f"{folder}/assemblies.csv"), _csv(spark, f"{folder}/contigs.csv")
+    a, c = scan_csv(spark, f"{folder}/assemblies.csv"), scan_csv(spark, f"{folder}/contigs.csv")
     n = a.count()
     if n != 1:
         raise ValueError(f"{folder}/assemblies.csv has {n} rows, but one assembly is compared at a time")
@@ -99,17 +106,22 @@ def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def read_scores(spark: SparkSession, path: str, column: int = 8) -> DataFrame:
     """(name, score) by the place of columns; rows that are short or have no number there are left out."""
-    d = _csv(spark, path, header=False).withColumn("__i", F.monotonically_increasing_id()).filter("__i > 0")
+    d = numbered(scan_csv(spark, path, header=False), "__i").filter("__i > 0").drop("__i")
     if len(d.columns) <= column + 1:
         return spark.createDataFrame([], "name string, score double")
     return d.select(F.col(d.columns[0]).alias("name"), F.col(d.columns[column]).try_cast("double").alias("score")).filter("score is not null")
 
 
+def parse_orthogroups(lines: DataFrame) -> DataFrame:
+    """(label, members) of lines (value, at from 0): the first word is dropped; labels are <line>.groups and sort as text."""
+    words = F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0))
+    d = lines.select(F.concat((F.col("at") + 1).cast("string"), F.lit(".groups")).alias("label"), words.alias("w")).filter(F.size("w") > 0)
+    return d.select("label", F.slice("w", 2, F.size("w")).alias("members"))
+
+
 def read_orthogroups(spark: SparkSession, path: str) -> DataFrame:
-    """(label, members): a group a line, its first word dropped; labels are <line>.groups and sort as text."""
-    with open_text(path) as f:
-        rows = [(f"{i}.groups", w[1:]) for i, line in enumerate(f, 1) if (w := line.split())]
-    return spark.createDataFrame(rows, "label string, members array<string>")
+    """parse_orthogroups of a file."""
+    return parse_orthogroups(numbered(spark.read.text(path), "at"))
 
 
 def read_group_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,12 +134,24 @@ def read_group_files(spark: SparkSession, folder: str) -> DataFrame:
 # fleets
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(pair_id, n_read_pairs) from rows of at least three fields: identifier, assembly, reads."""
-    t = spark.read.text(path).filter("trim(value) <> ''").select(F.split("value", "\t").alias("f"))
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """(pair_id, n_read_pairs) of lines (value) of at least three fields: identifier, assembly, reads."""
+    t = lines.filter("trim(value) <> ''").select(F.split("value", "\t").alias("f"))
     return t.select(F.col("f")[0].alias("pair_id"), F.when(F.size("f") >= 3, F.size(F.split(F.get("f", F.lit(2)), ",")).cast("long")).alias("n_read_pairs"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path))
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Descriptions of the pairs: a CSV file with a column pair_id; of several rows of a pair the last one."""
+    d = scan_csv(spark, path)
+    rest = [c for c in d.columns if c != "pair_id"]
+    last = numbered(d, "__at").groupBy("pair_id").agg(F.max_by(F.struct(*rest), "__at").alias("r"))
+    return last.select("pair_id", "r.*") if rest else d.distinct()
+
+
 def read_result_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(pair_id, result_dir, ...) of every folder of results with an assemblies.csv that is not empty."""
     found = [p for p in sorted(Path(folder).glob("*/assemblies.csv")) if p.stat().st_size]
@@ -139,7 +163,7 @@ def read_result_tree(spark: SparkSession, folder: str) -> DataFrame:
             heads.setdefault(f.readline(), []).append(p)
     out = []
     for paths in heads.values():  # one read for each set of columns
-        d = _csv(spark, *map(str, paths)).withColumn("__p", F.split(F.col("_metadata.file_path"), "/"))
+        d = scan_csv(spark, *map(str, paths)).withColumn("__p", F.split(F.col("_metadata.file_path"), "/"))
         base = F.lit(f"{folder}/")
         d = d.withColumns({"pair_id": F.element_at("__p", -2), "result_dir": F.concat(base, F.element_at("__p", -2))}).drop("__p")
         out.append(d.select("pair_id", "result_dir", *[F.col(f"`{c}`").alias(c.strip()) for c in d.columns if c not in ("pair_id", "result_dir") and c.strip()]))
@@ -150,7 +174,7 @@ def read_contig_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(pair_id, ...) of every contigs.csv in or below a folder of results."""
     found = sorted(Path(folder).glob("*/**/contigs.csv"))
     rel = F.substring(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), len(str(Path(folder).resolve())) + 2, 4096)
-    d = _csv(spark, *map(str, found))
+    d = scan_csv(spark, *map(str, found))
     return d.select(F.split(rel, "/")[0].alias("pair_id"), *d.columns)
 
 
