@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A run of these characters is white space to every operator here.
 SPACE = r"\x20\x09-\x0D"
@@ -35,6 +39,12 @@ def one_spaced(text: Column) -> Column:
     return F.regexp_replace(filled(text), _RUN, " ")
 
 
+def others(df: DataFrame, added: Iterable[str]) -> list[str]:
+    """The columns of df that are not named like an added one; Spark does not tell names apart by case."""
+    names = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -48,28 +58,58 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
             yield batch.slice(a, b - a)
 
 
+def _trim() -> None:
+    """Give memory that is not used any more back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def from_texts(docs: DataFrame, text: Column, columns: Sequence[str], made: str, start: Callable[[], Callable[[list[str | None]], list[pa.Array]]]) -> DataFrame:
+    """The columns of docs and those of the schema `made`: start(), once a task, gives what makes them of some MB of texts."""
+    d = docs.select(*columns, text.cast("string").alias("__of_text"))
+    new = T.StructType.fromDDL(made)
+    names, schema = [*columns, *new.names], T.StructType([*d.schema.fields[:-1], *new.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            for part in slices(b, "__of_text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(part.column("__of_text").to_pylist())], names=names)
+        _trim()
+
+    return d.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder, its lineage cut there.
+def folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder: the session's spark.checkpoint.dir. Only a local session may do without one.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a temporary one is taken.
+    Where none is set, a local session (tests) takes a temporary folder; on a cluster machines would not see each
+    other's, so that raises.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the cluster's checkpoint folder, its lineage cut there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """df as Parquet in the cluster's checkpoint folder (see cut), read again."""
+    """df as Parquet in the cluster's checkpoint folder, read again."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        cut(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
