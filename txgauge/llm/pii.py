@@ -1,9 +1,15 @@
 """Personal data by patterns and by bootstrapped contextual extraction, with DataFrame functions only.
 
-Base patterns find e-mail addresses, IP addresses, card and phone numbers. They are seeds: the two words before a
-find are a lexical pattern. All identifier-like tokens of the corpus are candidate instances of the patterns before
-them. Over this graph, confidence goes back and forth: a pattern has the share of its instances that are trusted, an
-instance the noisy-or of its patterns. Patterns of high confidence then name the candidates that follow them.
+Base patterns find e-mail addresses, IP addresses, card and phone numbers, and, as a kind of its own, long hexadecimal
+secrets. They are seeds. All identifier-like tokens of the corpus (with a digit, an @ or an (at)) are candidates. What
+stands around a seed or candidate is generalised to lexical patterns: the two words before it, or one, with the marks
+after them; the word before and the word behind; the word before, or behind, with the shape of the token; and the shape
+of the token between the kinds of its neighbours. Over the graph of patterns and instances confidence goes back and
+forth until no pattern changes: a pattern has the share of its instances that are trusted, an instance the noisy-or of
+its patterns. A pattern without a word has the share of seeds only, as it would drift. Patterns of high confidence and
+enough instances then name the candidates that they match.
+
+Texts are searched once; finds, candidates and their patterns are written narrow, and all else reads those.
 
 The expressions below are the contract's in forms that take linear time and no recursion in Java: quantified groups
 are possessive, and a match may start only where a run of its first characters does.
@@ -11,12 +17,13 @@ are possessive, and a match may start only where a run of its first characters d
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import cut, filled
+from txgauge.llm.common import cut, filled, others, written
+from txgauge.session import small
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -28,9 +35,15 @@ PATTERNS = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-CANDIDATE = r"""(?<![^\s(\["'<:=,;])(?=\S{0,32}[0-9@])[A-Za-z0-9+(][^\s,;"'<>\]]{3,62}[A-Za-z0-9]"""
+#: Seeds of a kind that the contract does not count: 32 to 128 hexadecimal digits, of them a letter and a digit.
+SECRET = r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])"
+_OUT = r"\s,;\"'<>\[\]="
+#: A run of other characters than these, from its first letter, digit, + or ( to its last letter or digit.
+CANDIDATE = rf"(?<![^{_OUT}])(?=[^{_OUT}@(0-9]*(?:[0-9@]|\([^{_OUT}@(0-9]*[0-9@]|\(at\)))[\p{{L}}0-9+(][^{_OUT}]+(?<=[\p{{L}}0-9])"
+#: Characters on either side from which neighbouring words are taken; of a longer word its part within them.
+REACH = 64
 _BLOCK = 512
-ADDED = ("spans",)
+ADDED = (*KINDS, "secret", "added")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,19 +68,25 @@ def _running(sizes: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Matches as structs: start and end in code points, s, and left, the end of what stands between the last one and it."""
+    """Matches as structs: start and end in code points, s, and left and right, REACH characters of what stands around it."""
 
     def spans(m: Column) -> Column:
-        sizes = F.zip_with(m["g"], m["s"], lambda g, s: (F.length(g) + F.length(s)).cast("long"))
-        return _let(_running(sizes), lambda at: F.transform(m["s"], lambda s, i: _let(F.struct(F.get(m["g"], i).alias("g"), F.get(at, i).alias("at")), lambda x: F.struct(
-            (x["at"] + F.length(x["g"])).alias("start"), (x["at"] + F.length(x["g"]) + F.length(s)).alias("end"),
-            s.alias("s"), F.substring(x["g"], -48, 48).alias("left")))))
+        sizes = F.zip_with(F.slice(m["g"], 1, F.size(m["s"])), m["s"], lambda g, s: (F.length(g) + F.length(s)).cast("long"))
+
+        def one(s: Column, i: Column, at: Column) -> Column:
+            gap, behind = F.get(m["g"], i), F.get(m["g"], i + 1)
+            start = F.get(at, i) + F.length(gap)
+            before = F.concat(F.coalesce(F.get(m["g"], i - 1), F.lit("")), F.coalesce(F.get(m["s"], i - 1), F.lit("")), gap)
+            after = F.concat(behind, F.coalesce(F.get(m["s"], i + 1), F.lit("")), F.coalesce(F.get(m["g"], i + 2), F.lit("")))
+            near = lambda x, short, place: F.substring(F.when(F.length(short) >= REACH, short).otherwise(x), place, REACH)
+            return F.struct(start.alias("start"), (start + F.length(s)).alias("end"), s.alias("s"), near(before, gap, -REACH).alias("left"), near(after, behind, 1).alias("right"))
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"), F.split(text, pattern, -1).alias("g"))
-    return _let(both, lambda m: _let(F.struct(m["s"].alias("s"), F.slice(m["g"], 1, F.size(m["s"])).alias("g")), spans))
+        return _let(_running(sizes), lambda at: F.transform(m["s"], lambda s, i: one(s, i, at)))
 
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s"), F.split(text, pattern, -1).alias("g")), spans)
 
-_SPANS = "array<struct<start: long, end: long, s: string, left: string>>"
+
+_SPANS = "array<struct<start: long, end: long, s: string, left: string, right: string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -98,78 +117,124 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(seen, found.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
-def _context(left: Column) -> Column:
-    """The last two words of what stands before, in lower case; empty without words."""
-    return _let(F.split(F.trim(F.lower(left)), r"\s+"), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2), " "))
+def _secrets(text: Column) -> Column:
+    return F.when(text.rlike("[0-9A-Fa-f]{32}"), _found(text, SECRET).cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens that overlap no base find."""
+    """Identifier-like tokens that overlap no seed."""
     free = _let(base, lambda all_: F.filter(_found(text, CANDIDATE), lambda c: ~F.exists(all_, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))))
-    return F.when(text.rlike("[0-9@]"), free.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(r"[0-9@]|\(at\)"), free.cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
-def _with_base(docs: DataFrame, text_col: str) -> DataFrame:
-    d = docs.withColumn("__text", filled(F.col(text_col)))
-    return d.withColumns({f"__{k}": base_spans(F.col("__text"), k) for k in KINDS})
+def shape(token: Column) -> Column:
+    """9 for each digit, a for each run of letters, all else as it is; hex for long mixed hexadecimal; a hash of what is long."""
+    s = F.regexp_replace(F.regexp_replace(token, "[0-9]", "9"), r"\p{L}+", "a")
+    mixed = token.rlike("^[0-9A-Fa-f]{16,}$") & token.rlike("[0-9]") & token.rlike("[A-Fa-f]")
+    return F.when(mixed, "hex").when(F.length(s) > 48, F.concat(F.lit("#"), F.hex(F.xxhash64(s)))).otherwise(s)
+
+
+def _kind_of_word(word: Column) -> Column:
+    """Of a neighbour: none, a word, a word with a mark at its end, a number, or something else."""
+    return F.when(word == "", "-").when(word.rlike(r"^\p{L}+$"), "a").when(word.rlike(r"^\p{L}+\p{P}+$"), "a.").when(word.rlike("^[0-9.,]+$"), "9").otherwise("?")
+
+
+def patterns_of(find: Column) -> Column:
+    """The patterns around one find, as strings that begin with what they are; those without a word to go by are left out."""
 
+    def made(w: Column) -> Column:
+        before, one, after, form = w["before"], w["one"], w["after"], w["form"]
+        every = F.array(
+            F.when(before != "", F.concat_ws(" ", F.lit("2"), before, one)),
+            F.when(one != "", F.concat(F.lit("1 "), one)),
+            F.when((one != "") & (after != ""), F.concat_ws(" ", F.lit("lr"), one, F.lit("_"), after)),
+            F.when(one != "", F.concat_ws(" ", F.lit("l"), one, F.lit("_"), form)),
+            F.when(after != "", F.concat_ws(" ", F.lit("r"), form, F.lit("_"), after)),
+            F.concat_ws(" ", F.lit("s"), _kind_of_word(one), form, _kind_of_word(after)),
+        )
+        return F.filter(every, lambda x: x.isNotNull())
 
-def _every_base() -> Column:
-    return F.concat(*[F.col(f"__{k}") for k in KINDS])
+    left = F.regexp_extract_all(F.lower(find["left"]), F.lit(r"\S*[\p{L}\p{N}][^\p{L}\p{N}]*+"), F.lit(0))
+    right = F.regexp_extract(F.lower(find["right"]), r"^\s*(\S+)", 1)
 
+    def words(w: Column) -> Column:
+        last = F.trim(F.coalesce(F.get(w, F.size(w) - 1), F.lit("")))
+        before = F.trim(F.coalesce(F.get(w, F.size(w) - 2), F.lit("")))
+        return _let(F.struct(before.alias("before"), last.alias("one"), right.alias("after"), shape(find["s"]).alias("form")), made)
 
-def contexts(docs: DataFrame, text_col: str = "text", least_support: int = 3) -> DataFrame:
-    """The graph: (context, instance, kind), kind null for candidates; contexts with few instances left out."""
-    d = _with_base(docs.select(text_col), text_col)
+    return _let(left, words)
+
+
+_NODES = "array<struct<kind: string, start: long, end: long, s: string, patterns: array<string>>>"
+
+
+def _nodes(finds: Column, kind: str | None) -> Column:
+    return F.transform(finds, lambda x: F.struct(F.lit(kind).cast("string").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), patterns_of(x).alias("patterns"))).cast(_NODES)
+
+
+def searched(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns in keep, __row (a number of the row's own) and __nodes: all seeds (with kind) and candidates (kind null), in a written table."""
+    columns = list(docs.columns if keep is None else keep)
+    d = docs.withColumn("__text", filled(F.col(text_col)))
+    d = d.withColumns({f"__{k}": base_spans(F.col("__text"), k) for k in KINDS}).withColumn("__secret", _secrets(F.col("__text")))
+    seeds = (*KINDS, "secret")
+    every = F.concat(*[F.transform(f"__{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in seeds])
+    nodes = F.concat(*[_nodes(F.col(f"__{k}"), k) for k in seeds], _nodes(_candidates(F.col("__text"), every), None))
+    return written(d.select(*columns, nodes.alias("__nodes"), F.monotonically_increasing_id().alias("__row")), "pii")
 
-    def nodes(finds: Column, kind: str | None) -> Column:
-        return F.transform(finds, lambda x: F.struct(_context(x["left"]).alias("context"), x["s"].alias("instance"), F.lit(kind).cast("string").alias("kind")))
 
-    seeds, free = [nodes(F.col(f"__{k}"), k) for k in KINDS], nodes(_candidates(F.col("__text"), _every_base()), None)
-    e = d.select(F.explode(F.concat(*seeds, free)).alias("e")).select("e.*").filter("context <> ''")
-    e = e.groupBy("context", "instance").agg(F.max("kind").alias("kind"))
-    sizes = e.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeded")).filter(F.col("n") >= least_support)
-    return e.join(sizes, "context")
+def pattern_graph(found: DataFrame, least_support: int = 3) -> DataFrame:
+    """(pattern, instance, kind, n): kind null for candidates, n the pattern's instances; patterns with few left out."""
+    e = found.select(F.explode("__nodes").alias("e")).select(F.explode("e.patterns").alias("pattern"), F.col("e.s").alias("instance"), "e.kind")
+    e = e.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    sizes = e.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeded")).filter(F.col("n") >= least_support)
+    return e.join(sizes, "pattern")
 
 
-def learn_patterns(graph: DataFrame, rounds: int = 2, least_support: int = 3, least_confidence: float = 0.6) -> DataFrame:
-    """(context, kind, confidence) of the patterns to be trusted."""
+def learn_patterns(graph: DataFrame, rounds: int = 8, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns to be trusted; at most `rounds` rounds, fewer if nothing changes."""
     graph = cut(graph)
     seeds = graph.filter("kind is not null").select("instance", "kind").distinct().withColumn("trust", F.lit(1.0))
-    trusted, patterns = seeds, None
-    for _ in range(rounds):
-        scored = graph.drop("kind").join(trusted, "instance").groupBy("context", "n", "kind").agg(F.sum("trust").alias("s"), F.count(F.lit(1)).alias("support"))
-        good = scored.withColumn("confidence", F.col("s") / (F.col("n") + 1)).filter((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence))
-        best = good.groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("b"))
-        patterns = cut(best.select("context", "b.kind", "b.confidence"))
-        drawn = graph.drop("kind").join(patterns, "context").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("trust"))
+    trusted, last = seeds, None
+    while True:
+        trust = F.when(F.col("pattern").startswith("s "), F.floor("trust")).otherwise(F.col("trust"))  # of seeds it is 1, of others less
+        scored = graph.drop("kind").join(trusted, "instance").groupBy("pattern", "n", "kind").agg(F.sum(trust).alias("s"), F.count(F.lit(1)).alias("support"))
+        good = scored.withColumn("confidence", F.col("s") / F.col("n")).filter((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence))
+        best = good.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+        patterns = cut(best.select("pattern", "b.kind", "b.confidence"))
+        rounds, state = rounds - 1, tuple(patterns.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(pattern, kind, round(confidence, 6)))")).first())
+        if state == last or rounds <= 0:
+            return patterns
+        last = state
+        drawn = graph.drop("kind").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("trust"))
         trusted = seeds.union(drawn).groupBy("instance", "kind").agg(F.max("trust").alias("trust"))
-    return patterns
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with a column for each kind (valid base finds: start, end, s, left) and added (kind, start, end).
+def find(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, **how) -> DataFrame:
+    """The columns of docs in keep (by default all) with one for each kind and secret (start, end, s) and added (kind, start, end).
 
-    Null text counts as empty and has no finds. Rows that are equal in id and text have the same finds. Added finds
-    overlap no base find. Input columns named like a kind or added are replaced; an empty table gives an empty result.
+    Null text counts as empty and has no finds. Repeated rows have the same finds each. Added finds overlap no seed,
+    and of several kinds have that of the pattern of most confidence. Input columns named like an added one, in any
+    case, are replaced; an empty table gives an empty result. `how` goes to learn_patterns.
     """
-    patterns = learn_patterns(contexts(docs, text_col), **how)
-    keep = [c for c in docs.columns if c not in (*KINDS, "added")]
-    d = _with_base(docs.select(*dict.fromkeys([*keep, text_col])), text_col)
+    columns = [c for c in (docs.columns if keep is None else keep) if c in others(docs, ADDED)]
+    found = searched(docs, text_col, columns)
+    patterns = learn_patterns(pattern_graph(found, how.get("least_support", 3)), **how)
+    n = patterns.count()
     none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
-    if patterns.isEmpty():
-        out = d.withColumn("added", none)
+    if n:
+        free = found.select("__row", F.explode(F.filter("__nodes", lambda x: x["kind"].isNull())).alias("c")).select("__row", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
+        named = free.join(small(patterns, n), "pattern").groupBy("__row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+        named = cut(named.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("b.kind", "start", "end"))).alias("__added")))
+        found = found.join(small(named, named.count()), "__row", "left")
     else:
-        key = [F.col(id_col).alias("__i"), F.xxhash64("__text").alias("__h")]
-        c = d.select(*key, F.explode(_candidates(F.col("__text"), _every_base())).alias("c")).withColumn("context", _context(F.col("c.left")))
-        named = c.join(patterns, "context").groupBy("__i", "__h").agg(F.collect_set(F.struct("kind", "c.start", "c.end")).alias("__added"))
-        out = d.join(named, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64("__text") == F.col("__h")), "left")
-        out = out.withColumn("added", F.coalesce("__added", none))
-    return out.select(*keep, *[F.col(f"__{k}").alias(k) for k in KINDS], "added")
+        found = found.withColumn("__added", none)
+    spans = lambda k: F.transform(F.filter("__nodes", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
+    return found.select(*columns, *[spans(k).alias(k) for k in (*KINDS, "secret")], F.coalesce("__added", none).alias("added"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and the hash of the base finds, and all finds, as kind:start:end."""
+    """Counts and the hash of the base finds, all finds as kind:start:end, and the same of secrets, which are no base kind."""
 
     def said(kind: str, x: Column) -> Column:
         return F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string"))
@@ -182,11 +247,14 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def both(k: str) -> Column:
         own = F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
         more = F.transform(F.filter("added", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-        return all_said(k, F.array_sort(F.concat(own, more)))
+        return F.array_sort(F.concat(own, more))
 
     return found.select(
         id_col,
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*[both(k) for k in KINDS]), ",").alias("spans"),
+        F.array_join(F.concat(*[all_said(k, both(k)) for k in KINDS]), ",").alias("spans"),
+        F.size(both("secret")).cast("long").alias("n_secret"),
+        F.array_join(all_said("secret", both("secret")), ",").alias("secret_spans"),
+        F.size("added").cast("long").alias("n_added"),
     )
