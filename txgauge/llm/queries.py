@@ -22,13 +22,14 @@ def op1_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1 = """
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+WITH e AS (
+  SELECT vec_id, embedding, row_number() OVER () AS own, greatest(max(len(embedding)) OVER (), 1) AS width FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT vec_id, own, list_resize(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)), width, 0::DOUBLE) AS v FROM e),
 s AS (
-  SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM v q, v x
-  WHERE q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.own, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score FROM v q, v x
+  WHERE q.vec_id % 100 = 0 AND q.own <> x.own),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
@@ -45,7 +46,7 @@ def _shrunk(prior: str, post: str) -> str:
 {post} AS (SELECT *, bad + c * m AS al, n - bad + c * (1 - m) AS be FROM (SELECT *, 1 / (rho + (1 - rho) * own) - 1 AS c FROM {post}_, {post}r))"""
 
 
-OP2 = f"""
+OP2 = rf"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -55,9 +56,10 @@ said AS (
 h AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM p LEFT JOIN said ON page_id = doc_id GROUP BY host),
 k AS (
-  SELECT *, split(host, '.') AS parts, array_to_string(parts[-2:], '.') AS two,
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS site, regexp_matches(site, '^[0-9]+(\.[0-9]+){{3}}$|^\[') AS ip,
+         split(site, '.') AS parts, array_to_string(parts[-2:], '.') AS two,
          two IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.kr', 'com.br', 'com.cn', 'co.in', 'co.nz', 'co.za') AS sl,
-         CASE WHEN sl THEN two ELSE parts[-1] END AS suffix, CASE WHEN sl THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM h),
+         CASE WHEN ip THEN 'ip' WHEN sl THEN two ELSE parts[-1] END AS suffix, CASE WHEN ip THEN site WHEN sl THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM k GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 s0 AS (SELECT s.*, t.bad + 0.5::DOUBLE AS pa, t.n - t.bad + 0.5::DOUBLE AS pb FROM s, (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM s) t),
@@ -111,7 +113,7 @@ def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
 def op9_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
