@@ -61,7 +61,7 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, least_rows: int, least_
     before = F.lag(text).over(ordered)
     rows = base.repartitionByRange(*keys).withColumn("__cs_before", before)
     same = (text == F.col("__cs_before")) | (one_spaced(text) == one_spaced(F.col("__cs_before")))
-    return rows.withColumn(_START, ~F.coalesce(same, F.lit(False))).drop("__cs_before"), keys, hot is not None
+    return rows.withColumn(_START, F.col("__cs_before").isNull() | ~same).drop("__cs_before"), keys, hot is not None
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_hot: int = 64, least_bytes: int = 1 << 22) -> DataFrame:
