@@ -2,18 +2,24 @@
 
 A byte goes if a string of LENGTH bytes over it also starts elsewhere. Full suffix arrays hold eight bytes for each
 byte of text; these hold only the suffixes at anchors: the leftmost smallest of the hashes of all GRAM-byte strings
-in a window of LENGTH bytes. Equal windows have their anchor at the same place, so they meet under the same hash.
-
-An entry stands for all windows of one anchor: the hash of the anchor's first bytes, a hash of the block of bytes
-that its windows cover, and how often that block occurs. Documents come in batches. Each batch gets its array of
-entries, is merge-scanned against the existing levels for hashes that both have, and joins them as a level; two
-levels of equal size merge, equal blocks becoming one entry. Blocks that occur twice are removed as they are. Where
-blocks differ and the anchor's hash is the same, the windows themselves are compared, aligned at the anchor.
+in a window of LENGTH bytes. Equal windows have their anchor at the same place, so the suffixes at their anchors agree
+on GRAM bytes or more and are neighbours in the arrays.
+
+An array is ordered by the suffixes' first eight bytes, as text, and further by the hash of their first GRAM bytes; it
+is dealt into buckets by both, so two arrays are merge-scanned bucket by bucket, without an exchange. An entry stands
+for all windows of one anchor: with its suffix go a hash of the block of bytes that its windows cover and how often
+that block occurs. Documents come in batches. Each batch gets its array, is merge-scanned against the existing levels
+for suffixes that both have, and joins them as a level; two levels of equal size merge, equal blocks becoming one
+entry. Blocks that occur twice are removed as they are. Where suffixes agree on GRAM bytes and blocks differ, the
+windows themselves are compared, aligned at the anchor: first by hash, and what that finds byte by byte.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import filled, release, written
+from txgauge.llm.common import filled, folder, others, release, shuffle_partitions, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # hashes in a window
@@ -58,12 +64,12 @@ def window_anchors(t: np.ndarray) -> np.ndarray:
 
 
 def entries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(index of the text, anchor, first and last window, hash, block hash) of all anchors of texts, joined in one run."""
+    """(index of the text, anchor, first and last window, first eight bytes as an ordered number, hash, block hash) of all anchors of texts, joined in one run."""
     sizes = np.array([len(x) for x in texts])
     joined = b"".join(texts)
     b = np.frombuffer(joined, np.uint8)
     if len(b) < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
     t = gram_hashes(b)
     at = window_anchors(t)
     ends = np.cumsum(sizes)
@@ -75,7 +81,11 @@ def entries(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     anchor, own = at[starts], owner[starts]
     block = np.array([digest(joined[a : z + LENGTH], c - a) for a, z, c in zip(starts.tolist(), lasts.tolist(), anchor.tolist(), strict=True)], dtype=np.uint64)
     base = (ends - sizes)[own]
-    return own, anchor - base, starts - base, lasts - base, t[anchor].view(np.int64), block.view(np.int64)
+    first = np.zeros(len(anchor), np.uint64)
+    for i in range(8):
+        first = first << np.uint64(8) | b[anchor + i].astype(np.uint64)
+    ordered = (first ^ np.uint64(1 << 63)).view(np.int64)  # signed numbers in the order of the bytes
+    return own, anchor - base, starts - base, lasts - base, ordered, t[anchor].view(np.int64), block.view(np.int64)
 
 
 def _runs(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -86,8 +96,8 @@ def _runs(d: pd.DataFrame) -> Iterator[pd.DataFrame]:
     def flush() -> pd.DataFrame:
         own, *rest = entries([x[2] for x in held])
         row, shift = np.array([x[0] for x in held])[own], np.array([x[1] for x in held])[own]
-        a, lo, hi, h, t = rest
-        return pd.DataFrame({"id": d["id"].to_numpy()[row], "x": d["x"].to_numpy()[row], "h": h, "t": t, "p": (a + shift) << 16 | (a - lo) << 8 | (hi - lo)})
+        a, lo, hi, k, h, t = rest
+        return pd.DataFrame({"id": d["id"].to_numpy()[row], "x": d["x"].to_numpy()[row], "k": k, "h": h, "t": t, "p": (a + shift) << 16 | (a - lo) << 8 | (hi - lo)})
 
     for i, text in enumerate(d["text"]):
         raw = (text or "").encode("utf-8", "replace")
@@ -110,82 +120,127 @@ def anchor_entries(docs: DataFrame) -> DataFrame:
         for d in batches:
             yield from _runs(d)
 
-    return docs.mapInPandas(run, f"id {kind}, x long, h long, t long, p long")
+    return docs.mapInPandas(run, f"id {kind}, x long, k long, h long, t long, p long")
 
 
 class SuffixIndex:
-    """Levels of merged batches: level i holds 2**i of them, as sorted (h, t, n), n being how often the block occurs."""
+    """Levels of merged batches: level i holds 2**i of them, as (k, h, t, n) ordered by suffix, n being how often the block occurs."""
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.levels: dict[int, DataFrame] = {}
         self.hits: list[DataFrame] = []
+        self.names: list[str] = []
+
+    def _array(self, rows: DataFrame) -> DataFrame:
+        """rows in their buckets, in order, as a table in the checkpoint folder."""
+        spark, name = rows.sparkSession, f"suffixes_{uuid.uuid4().hex}"
+        way = rows.repartition(self.buckets, "k", "h").sortWithinPartitions("k", "h", "t").write.bucketBy(self.buckets, "k", "h").sortBy("k", "h", "t")
+        way.option("path", f"{folder(spark)}/{name}").saveAsTable(name)
+        self.names.append(name)
+        return spark.table(name)
+
+    @staticmethod
+    def _rows(array: DataFrame) -> DataFrame:
+        """An array without its buckets: a union of bucketed tables may be taken for bucketed itself, which it is not."""
+        files = array.inputFiles()
+        return array.sparkSession.read.schema(array.schema).parquet(os.path.dirname(files[0])) if files else array.sparkSession.createDataFrame([], array.schema)
+
+    @staticmethod
+    def _merged(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("k", "h", "t").agg(F.sum("n").alias("n"))
 
     def add(self, batch: DataFrame) -> None:
-        """Index the entries of a batch and note the hashes found again, in it or in a level."""
-        new = written(self._merged(batch.select("h", "t", F.lit(1).cast("long").alias("n"))), "suffixes")
-        seen = new.select("h", "n", F.lit(1).alias("new"))
+        """Index the entries of a batch and note the suffixes found again, in it or in a level."""
+        # equal blocks are one row before the buckets are dealt, so that a frequent one does not fill a bucket
+        new = self._array(self._merged(batch.select("k", "h", "t", F.lit(1).cast("long").alias("n"))))
+        self.hits.append(written(new.groupBy("k", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("k", "h"), "hits"))
         for level in self.levels.values():
-            seen = seen.union(level.select("h", "n", F.lit(0)))
-        found = seen.groupBy("h").agg(F.sum("n").alias("n"), F.max("new").alias("new")).filter("n > 1 and new = 1").select("h")
-        self.hits.append(written(found, "hits"))
+            self.hits.append(written(new.select("k", "h").join(level.select("k", "h"), ["k", "h"], "left_semi"), "hits"))
         rank = 0
         while rank in self.levels:
             old = [self.levels.pop(rank), new]
-            new = written(self._merged(old[0].union(old[1])), "suffixes")
-            release(batch.sparkSession, *old)
+            new = self._array(self._merged(self._rows(old[0]).union(self._rows(old[1]))))
+            release(new.sparkSession, *old)
             rank += 1
         self.levels[rank] = new
 
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h", "t").agg(F.sum("n").alias("n")).sortWithinPartitions("h", "t")
-
     def repeated(self) -> DataFrame:
-        """(h, t, n, kinds) of what may repeat: blocks that occur again, and hashes with several kinds of block."""
-        every = hits = None
-        for level in self.levels.values():
-            every = level if every is None else every.union(level)
-        for x in self.hits:
-            hits = x if hits is None else hits.union(x)
-        # joined from written tables, so that Spark can split the rows of a hash that is very frequent
-        again = written(hits.distinct(), "again")
-        merged = written(self._merged(every.join(again, "h", "left_semi").select("h", "t", "n")), "merged")
+        """(h, t, n, kinds) of what may repeat: blocks that occur again, and suffixes with several kinds of block."""
+        every = reduce(DataFrame.union, map(self._rows, self.levels.values()))
+        again = written(reduce(DataFrame.union, self.hits).distinct(), "again")
+        merged = written(self._merged(every.join(again, ["k", "h"], "left_semi").select("k", "h", "t", "n")), "merged")
+        # joined from written tables, so that Spark can split the rows of a suffix that is very frequent
         kinds = written(merged.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "kinds")
         out = merged.join(kinds, "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
-        out = written(out.filter("n > 1 or kinds > 1"), "repeated")
-        release(out.sparkSession, again, merged, kinds, *self.levels.values(), *self.hits)
-        self.levels, self.hits = {}, []
+        out = written(out.filter("n > 1 or kinds > 1").select("h", "t", "n", "kinds"), "repeated")
+        release(out.sparkSession, again, merged, kinds, *self.hits, *self.levels.values())
+        for name in self.names:
+            out.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.hits, self.names = {}, [], []
         return out
 
 
-def _windows(block: pd.Series, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window with s - LEFT bytes from the anchor, for all s, and whether the block has that window."""
-    n = len(block)
-    m, size = np.zeros((n, LEFT + LENGTH), np.uint8), np.array([len(b) for b in block])
+def _aligned(block: pd.Series, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks' bytes in columns aligned at the anchor, and the first column and the number of each one's windows."""
+    m, size = np.zeros((len(block), LEFT + LENGTH), np.uint8), np.array([len(b) for b in block])
     for i, (b, o) in enumerate(zip(block, offset.tolist(), strict=True)):
         m[i, LEFT - o : LEFT - o + len(b)] = np.frombuffer(b, np.uint8)
-    h = np.zeros((m.shape[1] + 1, n), np.uint64)
-    for j in range(m.shape[1]):
-        h[j + 1] = h[j] * _BASE + _TABLE[m[:, j]]
-    w = (h[LENGTH:] - h[: LEFT + 1] * _power(LENGTH)).T
     s = np.arange(LEFT + 1)[None, :]
     first = (LEFT - offset)[:, None]
-    return w, (s >= first) & (s <= first + (size - LENGTH)[:, None])
+    return m, (s >= first) & (s <= first + (size - LENGTH)[:, None])
+
+
+def _hashes(m: np.ndarray) -> np.ndarray:
+    """Hash of the window with s - LEFT bytes from the anchor, for all s."""
+    h = np.zeros((m.shape[1] + 1, len(m)), np.uint64)
+    for j in range(m.shape[1]):
+        h[j + 1] = h[j] * _BASE + _TABLE[m[:, j]]
+    return (h[LENGTH:] - h[: LEFT + 1] * _power(LENGTH)).T
+
+
+def _equal(m: np.ndarray, rows: np.ndarray, others: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether the windows s of two rows each have the same bytes: each pair of rows is compared once."""
+    pairs, at = np.unique(rows * len(m) + others, return_inverse=True)
+    out = np.zeros(len(s), bool)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(0, len(pairs) + 4096, 4096))
+    for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        mine = order[a:z]
+        part = pairs[4096 * k : 4096 * (k + 1)]
+        differ = np.cumsum(np.pad(m[part // len(m)] != m[part % len(m)], ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        i = at[mine] - 4096 * k
+        out[mine] = differ[i, s[mine] + LENGTH] == differ[i, s[mine]]
+    return out
 
 
 def shared_windows(d: pd.DataFrame) -> pd.DataFrame:
     """(id, x, s, e): byte ranges of windows that another block under the same hash has, of blocks that occur once."""
     d = d.drop_duplicates(["h", "t"])
-    w, has = _windows(d["block"], d["o"].to_numpy())
+    m, has = _aligned(d["block"], d["o"].to_numpy())
+    w = _hashes(m)
     group = pd.factorize(d["h"])[0].astype(np.uint64)
     place = group[:, None] * np.uint64(LEFT + 1) + np.arange(LEFT + 1, dtype=np.uint64)[None, :]
     mixed = (w ^ (w >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + (place + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    row, column = np.nonzero(has)
     flat = mixed[has]
-    order = np.argsort(flat)
-    same = flat[order][1:] == flat[order][:-1]
+    order = np.argsort(flat, kind="stable")
+    same = np.flatnonzero(flat[order][1:] == flat[order][:-1])
+    one, two = order[same], order[same + 1]
+    true = (column[one] == column[two]) & (group[row[one]] == group[row[two]])
+    true[true] = _equal(m, row[one[true]], row[two[true]], column[one[true]])
     twice = np.zeros(len(flat), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    if true.all():
+        twice[one] = twice[two] = True
+    else:  # other windows share a hash: these are told apart by their bytes
+        odd = np.isin(flat, flat[one[~true]])
+        twice[one[~odd[one]]] = twice[two[~odd[two]]] = True
+        seen: dict[tuple, int] = {}
+        for i in np.flatnonzero(odd):
+            key = (int(group[row[i]]), int(column[i]), m[row[i], column[i] : column[i] + LENGTH].tobytes())
+            if key in seen:
+                twice[[i, seen[key]]] = True
+            seen[key] = i
     hit = np.zeros((len(d), LEFT + 3), np.int8)
     inner = hit[:, 1:-1]
     inner[has] = twice
@@ -225,24 +280,26 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hot_windows(d: pd.DataFrame) -> pd.DataFrame:
-    w, has = _windows(d["block"], d["o"].to_numpy())
+    m, has = _aligned(d["block"], d["o"].to_numpy())
+    w = _hashes(m)
     rows, s = np.nonzero(has)
     return d.iloc[rows][["id", "x", "h", "t", "n", "a"]].assign(s=s, w=w[rows, s].view(np.int64))
 
 
-def repeated_ranges(docs: DataFrame, batches: int = 2, most_kinds: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, batches: int = 7, most_kinds: int = 20_000) -> DataFrame:
     """(id, x, starts, ends): byte ranges to be removed from documents (id, x, text); x is a hash of the text.
 
-    Hashes with more than most_kinds blocks are not held in one task: their windows are dealt out one by one.
+    Seven batches leave levels of four, two and one of them. Suffixes with more than most_kinds blocks are not held in
+    one task: their windows are dealt out one by one.
     """
     kind = docs.schema["id"].dataType.simpleString()
     found = anchor_entries(docs).withColumn("batch", F.pmod(F.xxhash64("id", "x"), F.lit(batches)).cast("int"))
     found = written(found, "anchors", "batch")
-    index = SuffixIndex()
+    index = SuffixIndex(shuffle_partitions(docs.sparkSession))
     for b in range(batches):
         index.add(found.filter(F.col("batch") == b))
     again = index.repeated()
-    mine = written(found.drop("batch").join(again, ["h", "t"]), "again")
+    mine = written(found.drop("batch", "k").join(again, ["h", "t"]), "again")
     release(docs.sparkSession, found, again)
     first = (F.shiftright("p", 16) - F.shiftright("p", 8).bitwiseAND(255)).alias("s")
     whole = mine.filter("n > 1").select("id", "x", first, (first + F.col("p").bitwiseAND(255) + LENGTH).alias("e"))
@@ -252,6 +309,7 @@ def repeated_ranges(docs: DataFrame, batches: int = 2, most_kinds: int = 20_000)
     blocks = texts.mapInPandas(_blocks, f"id {kind}, x long, h long, t long, n long, a long, o long, block binary")
     ranges = f"s long, e long, id {kind}, x long"
     hot = mine.filter(F.col("kinds") > most_kinds).select("h").distinct()
+    done: list[DataFrame] = []
     if hot.isEmpty():
         shared = blocks.repartition("h").sortWithinPartitions("h").mapInPandas(_solve, ranges)
     else:
@@ -259,11 +317,12 @@ def repeated_ranges(docs: DataFrame, batches: int = 2, most_kinds: int = 20_000)
         shared = blocks.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInPandas(_solve, ranges)
         one = blocks.join(hot, "h", "left_semi").select(*blocks.columns).dropDuplicates(["h", "t"])
         one = written(one.mapInPandas(lambda it: (_hot_windows(d) for d in it), f"id {kind}, x long, h long, t long, n long, a long, s long, w long"), "windows")
+        done = [blocks, one]
         two = one.groupBy("h", "s", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
         start = F.col("a") + F.col("s") - LEFT
         shared = shared.union(one.filter("n = 1").join(two, ["h", "s", "w"], "left_semi").select(start, start + LENGTH, "id", "x"))
     shared = written(shared.toDF("s", "e", "id", "x"), "shared")
-    release(docs.sparkSession)
+    release(docs.sparkSession, *done)
     every = whole.union(shared.select("id", "x", "s", "e"))
     near = every.groupBy("id", "x").agg(F.collect_set(F.struct("s", "e")).alias("r"))
     return near.select("id", "x", F.col("r.s").alias("starts"), F.col("r.e").alias("ends"))
@@ -280,13 +339,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the other bytes, in a binary).
 
     Null text counts as empty. Repeated rows are each other's repeats. Texts are judged on the input; kept need not
-    be valid UTF-8. Null ids are one more id. Input columns with the added names are replaced; an empty table gives
-    an empty result.
+    be valid UTF-8. Null ids are one more id. Input columns with the added names, in any case, are replaced; an
+    empty table gives an empty result.
     """
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     keys = docs.select(F.col(id_col).alias("id"), F.xxhash64(filled(F.col(text_col))).alias("x"), filled(F.col(text_col)).alias("text"))
     ranges = repeated_ranges(keys.filter(F.octet_length("text") >= LENGTH), **how).withColumnsRenamed({"id": "__i", "x": "__x"})
-    columns = [c for c in docs.columns if c not in added]
+    columns = others(docs, added)
     d = docs.select(*columns, filled(F.col(text_col)).alias("__text"))
     d = d.join(ranges, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64("__text") == F.col("__x")), "left")
 
