@@ -9,6 +9,8 @@ import re
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from txgauge.llm import components, content_sort, simhash, suffix_index
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -24,10 +26,10 @@ def edge_texts():
     return [(3, None), (1, ""), (2, ""), (4, " \t\n"), (5, "a b"), (6, "a  b"), (7, "a\x0bb"), (8, "a\xa0b"), (9, "A b"), (5, "a b"), (None, "a b"), (None, None), (10, "é" * 5000), (11, "é" * 5000)]
 
 
-@pytest.mark.parametrize("least_hot", [2, 64])
-def test_content_sort(spark, least_hot):
+@pytest.mark.parametrize("how", [{"least_hot": 2}, {"least_hot": 64}, {"least_bytes": 100}])
+def test_content_sort(spark, how):
     texts = edge_texts() + [(100 + i, "hot text") for i in range(40)] + [(200 + i, f"text {i % 7}") for i in range(30)]
-    got = content_sort.mark_copies(frame(spark, texts), least_hot=least_hot).collect()
+    got = content_sort.mark_copies(frame(spark, texts), **how).collect()
     groups = {}
     for i, t in texts:
         groups.setdefault(SPACE.sub(" ", t or ""), []).append(i)
@@ -41,6 +43,8 @@ def test_content_sort(spark, least_hot):
     for norm in groups:
         kept = [r for r in got if SPACE.sub(" ", r.text or "") == norm and r.kept]
         assert len(kept) == 1 and kept[0].doc_id == kept[0].keep_id
+    left = content_sort.drop_copies(frame(spark, texts), **how).collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(str(r.doc_id) for r in got if r.kept)
 
 
 def test_content_sort_empty_and_clashing(spark):
@@ -169,7 +173,7 @@ def repeat_texts():
     return texts
 
 
-@pytest.mark.parametrize("how", [{}, {"batches": 5}, {"most_kinds": 1}])
+@pytest.mark.parametrize("how", [{}, {"batches": 2}, {"batches": 5}, {"batches": 9}, {"most_kinds": 1}])
 def test_remove_repeats(spark, how):
     texts = repeat_texts()
     raws, gone = slow_removed(texts)
@@ -181,6 +185,43 @@ def test_remove_repeats(spark, how):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize(("batches", "sizes"), [(2, {1: 2}), (5, {0: 1, 2: 4}), (7, {0: 1, 1: 2, 2: 4}), (9, {0: 1, 3: 8})])
+def test_levels_merge_geometrically(spark, batches, sizes):
+    """Level i holds 2**i batches, ordered within its buckets, with all their entries."""
+    docs = frame(spark, repeat_texts()).selectExpr("doc_id AS id", "xxhash64(text) AS x", "coalesce(text, '') AS text")
+    found = suffix_index.anchor_entries(docs).withColumn("batch", F.abs(F.col("x")) % batches).cache()
+    index = suffix_index.SuffixIndex(4)
+    for b in range(batches):
+        index.add(found.filter(F.col("batch") == b))
+    assert set(index.levels) == set(sizes)
+    assert sum(r.n for level in index.levels.values() for r in level.collect()) == found.count()
+    first = sizes[max(sizes)]
+    want = {(r.k, r.h, r.t): r.n for r in found.filter(F.col("batch") < first).groupBy("k", "h", "t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {(r.k, r.h, r.t): r.n for r in index.levels[max(sizes)].collect()} == want
+    top = index.levels[max(sizes)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = top.join(top.select("k", "h"), ["k", "h"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    found.unpersist()
+
+
+def test_windows_of_one_hash_are_told_apart_by_bytes(monkeypatch):
+    """With a hash that is always the same, only equal windows count."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(6)
+    text = bytes(rnd.randrange(97, 105) for _ in range(420))
+    other = bytes(rnd.randrange(97, 105) for _ in range(420))
+    blocks = [text[:300], text[40:300], other[:260], text[100:300] + other[:30]]
+    d = pd.DataFrame({"id": [1, 2, 3, 4], "x": 0, "h": 5, "t": [1, 2, 3, 4], "n": 1, "a": [140, 100, 120, 60], "o": [140, 100, 120, 40], "block": blocks})
+    want = suffix_index.shared_windows(d)
+    monkeypatch.setattr(suffix_index, "_hashes", lambda m: np.zeros((len(m), suffix_index.LEFT + 1), np.uint64))
+    got = suffix_index.shared_windows(d)
+    assert len(want) and got.values.tolist() == want.values.tolist()
+
+
 def test_remove_repeats_edges(spark):
     assert suffix_index.remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
     d = spark.createDataFrame([(1, "no repeats here", "k")], "doc_id long, text string, kept string")

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 import public_tokenizers
 import tiktoken
-from test_dedup import slow_components, slow_fingerprint
+from test_jaccard import slow_kept
 from test_rows import slow_targets
 
 import corpus_pipeline
@@ -54,9 +54,7 @@ def test_exact(steps):
 
 
 def test_near(steps):
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in steps[2].collect()}
-    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
-    assert ids(steps[3]) == sorted(set(slow_components(fps, links).values()))
+    assert ids(steps[3]) == slow_kept({r.doc_id: r.text for r in steps[2].collect()})[0]
 
 
 def test_mix(steps):
@@ -90,6 +88,26 @@ def test_run(spark, steps):
     assert ids(corpus_pipeline.run(spark, SMALL)) == ids(steps[5])
 
 
+def test_run_computes_each_stage_once(spark, monkeypatch):
+    """However often a stage reads its input, what comes before is not computed again."""
+    passed = spark.sparkContext.accumulator(0)
+    first = corpus_pipeline.STAGES[0][1]
+
+    def counted(spark, docs, sf_dir):
+        def look(batches):
+            for b in batches:
+                passed.add(b.num_rows)
+                yield b
+
+        out = first(spark, docs, sf_dir)
+        return out.mapInArrow(look, out.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("language", counted), *corpus_pipeline.STAGES[1:]])
+    corpus_pipeline.run(spark, SMALL).count()
+    kept = first(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL).count()
+    assert passed.value == kept
+
+
 def test_stages_on_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, None, "en", "web", 3), (2, "", None, None, 0), (3, "the same words", "en", "web", 1), (3, "the same words", "en", "web", 1), (4, "x " * 50_000, "fr", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

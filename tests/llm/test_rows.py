@@ -15,11 +15,11 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def slow_top_k(rows, k):
-    fine = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in fine:
+    for own, (q, v) in enumerate(fine):
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in fine if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, x, strict=False)), i) for other, (i, x) in enumerate(fine) if other != own)[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -28,7 +28,7 @@ def slow_top_k(rows, k):
 def test_top_k(spark, n, k):
     rnd = random.Random(n)
     rows = [(i, [round(rnd.gauss(rnd.choice([0, 3]), 1), 2) for _ in range(6)]) for i in range(n)]
-    rows += [(10_000 + i, rows[0][1]) for i in range(60)] + [(20_000, None), (20_001, []), (20_002, [None] * 6), (20_003, [math.nan] * 6), (20_100, [math.inf] * 6), (None, rows[1][1]), rows[0], (20_200, [0.0] * 6)]
+    rows += [(10_000 + i, rows[0][1]) for i in range(60)] + [(20_000, None), (20_001, []), (20_002, [None] * 6), (20_003, [math.nan] * 6), (20_100, [math.inf] * 6), (None, rows[1][1]), rows[0], rows[0], (20_200, [0.0] * 6), (20_300, [1.0, 2.0]), (20_301, [4.0] * 9)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     import numpy as np
 
@@ -44,6 +44,33 @@ def test_top_k_empty(spark):
     assert knn_join.top_k(one, F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_top_k_prunes(spark):
+    """On clustered vectors less than half of all pairs are scored; a vector that a third of the rows share is whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(60, 24))
+    x = np.floor(1024 * (centres[rng.integers(0, 60, 6000)] + 0.15 * rng.normal(size=(6000, 24))))
+    x[1::3] = x[1]
+    d = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    scored = spark.sparkContext.accumulator(0)
+    got = knn_join.top_k(d, F.col("vec_id") % 20 == 0, evaluated=scored).collect()
+    s = x[::20] @ x.T
+    s[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = [(20 * q, n, int(i), int(s[q, i])) for q in range(300) for n, i in enumerate(np.lexsort((np.arange(6000), -s[q]))[:10], 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert 0 < scored.value < 0.5 * 300 * 6000
+
+
+def test_site(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "x.com:8080": ("com", "x.com"), "u:p@www.x.co.uk:80": ("co.uk", "x.co.uk"), "1.2.3.4": ("ip", "1.2.3.4"), "1.2.3.4:80": ("ip", "1.2.3.4"), "com": ("com", "com"), "": ("", ""), "x.com.": ("com", "x.com"), "co.uk": ("co.uk", "co.uk"), "a.b.c.city.jp": ("city.jp", "c.city.jp")}
+    d = spark.createDataFrame([(h,) for h in hosts], "h string")
+    more = (*url_reputation.SECOND_LEVEL, "city.jp")
+    site = url_reputation.site_of(F.col("h"))
+    got = {r.h: (r.s, r.d) for r in d.select("h", url_reputation.suffix_of(site, more).alias("s"), url_reputation.domain_of(site, more).alias("d")).collect()}
+    assert got == hosts
+
+
 def test_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/de/x", "http://example.com/DE/", "http://a.example.com/de/", "https://example.net/en/?q", "https://example.net/fr/", "http://notexample.net/en/", "http://x.org/fr/a#b", "http://x.org/en/", "http://org/fr/", "ftp://u:p@x.org:80/fr/", "http://a.com?x=://b.net/", "http://a.com#://b.net/", "://net", "http://net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -113,6 +140,39 @@ def test_mixing(spark):
     assert mixing.mixed(d.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("bucket_rows", [1, 2048])
+def test_mixing_takes_smallest_keys(spark, bucket_rows):
+    """Of each source, those with the smallest keys, up to the one that ends nearest to the budget; weights count."""
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(("word", "other", "third")) for _ in range(rnd.randrange(1, 60))), rnd.choice("aabbc"), 1.0 if i % 2 else 0.05) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = {r.doc_id: r for r in mixing.mixed(d, weight_col="w", bucket_rows=bucket_rows).collect()}
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") + 0.5) / float(2**53)
+    keys = {r.doc_id: r.k for r in d.select("doc_id", (-F.log(u) / F.col("w")).alias("k")).collect()}
+    for s in "abc":
+        mine = sorted((i for i, _, x, _ in rows if x == s), key=keys.get)
+        whole = min(3, int(got[mine[0]].target // got[mine[0]].source_size))
+        rest, total, best = got[mine[0]].target - whole * got[mine[0]].source_size, 0, (None, 0)
+        best = (rest, 0)
+        for n, i in enumerate(mine, 1):
+            total += got[i]["size"]
+            best = min(best, (abs(total - rest), n))
+        extra = set(mine[: best[1]])
+        assert all(got[i].taken == got[i]["size"] * (whole + (i in extra)) for i in mine)
+    assert sum(got[i].taken for i in got if i % 2) > 1.5 * sum(got[i].taken for i in got if not i % 2)
+
+
+def test_quality_weight(spark):
+    texts = ["plain prose of some words that has nothing odd about it and goes on for a while so that it is long enough", "%%% ### 12 34 $$$ *** 99 || -- ++ == 11 22 33 44 55 66 77 88 99 00 12", "short one", "", None]
+    w = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.quality_weight(F.col("t"), F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"\S+")))).collect()]
+    assert w[0] == 1.0 and all(0 < x < 0.6 for x in w[1:])
+
+
+def test_mixing_long_texts(spark):
+    d = spark.createDataFrame([(i, "word " * 200_000, "ab"[i % 2]) for i in range(4)], "doc_id long, text string, source string")
+    assert [r["size"] for r in mixing.mixed(d).collect()] == [200_000] * 4
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql_agrees(spark, name):
     con = duckdb.connect()

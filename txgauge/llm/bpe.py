@@ -8,21 +8,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txgauge.llm.common import slices
+from txgauge.llm.common import from_texts, others
 
 PIECE = 1 << 16
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+_CUT = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")  # the pattern's own class: re's differs
 
 
 @lru_cache(maxsize=4)
@@ -56,19 +55,19 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     """docs with token_ids (little-endian unsigned 32-bit integers in a binary) and decoded (bytes of those ids).
 
     Null text counts as empty and has no ids. No special tokens are added or recognised. Only the columns in keep
-    stay, by default all. Input columns named token_ids or decoded are replaced; an empty table gives an empty result.
+    stay, by default all. Input columns named token_ids or decoded, in any case, are replaced; an empty table gives an empty result.
     A worker holds one batch of texts and the ids of a few MB of them.
     """
-    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("token_ids", "decoded")]
-    d = docs.select(*columns, F.col(text_col).cast("string").alias("__bpe_text"))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    free = others(docs, ("token_ids", "decoded"))
+    columns = free if keep is None else [c for c in keep if c in free]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
         enc = encoding(path, pattern)
-        for b in batches:
-            for part in slices(b, "__bpe_text"):
-                ids = [encode(enc, t or "") for t in part.column("__bpe_text").to_pylist()]
-                made = [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([enc.decode_bytes(i.tolist()) for i in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*columns, "token_ids", "decoded"])
 
-    return d.mapInArrow(run, schema)
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            ids = [encode(enc, t or "") for t in texts]
+            return [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([enc.decode_bytes(i.tolist()) for i in ids], pa.binary())]
+
+        return make
+
+    return from_texts(docs, F.col(text_col), columns, "token_ids binary, decoded binary", start)

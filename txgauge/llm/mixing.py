@@ -4,7 +4,7 @@ Every document gets an exponential key -ln(u) / quality weight, u being a hash o
 that must give more words than it has gives complete epochs of all its documents; the fraction left is filled in
 ascending order of the keys up to the token budget, the last document being taken if that comes nearer.
 
-The prefix sums have two levels, so that no task sorts a source: keys fall into buckets of about equal numbers,
+The prefix sums have two levels, so that no task sorts a source: keys fall into ordered buckets of a bounded number,
 bucket totals are summed per source, and only the bucket in which the budget ends is sorted.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import WORD, cut, filled
+from txgauge.llm.common import WORD, cut, filled, others
 
 _Z, _K, _B, _SRC = "__mx_size", "__mx_key", "__mx_bucket", "__mx_source"
 ADDED = ("size", "source_size", "target", "taken")
@@ -24,38 +24,49 @@ MOST_BROADCAST = 50_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """1 for words of 3 to 12 characters on average, white space included, else 1/4."""
-    mean = F.length(filled(text)) / F.greatest(size, F.lit(1))
-    return F.when(mean.between(3, 12), 1.0).otherwise(0.25)
+    """Between 0.02 and 1, from all of the text: its share of letters, the length of its words and how many there are.
+
+    Prose is four fifths of letters or more, in words of 3 to 12 characters. A lower share of letters counts in
+    proportion; words of other lengths, and texts of under 20 words, halve the weight each.
+    """
+    t = filled(text)
+    n, letters = F.length(t), F.length(F.regexp_replace(t, r"[^\p{L}]++", ""))
+    share = F.least(F.lit(1.0), letters / (0.8 * F.greatest(n - size, F.lit(1))))
+    mean = n / F.greatest(size, F.lit(1)) - 1  # without the space behind
+    return F.greatest(F.lit(0.02), share * F.when(mean.between(3, 12), 1.0).otherwise(0.5) * F.when(size < 20, 0.5).otherwise(1.0))
 
 
 def source_targets(totals: DataFrame, weights: Sequence[int], share: float, most_epochs: int) -> DataFrame:
     """totals (__mx_source, source_size) with target: water filling under most_epochs times the source's size.
 
-    Sorted by cap / weight, the capped sources are those whose cap lies under the level that the rest would reach.
-    The windows span one row a source.
+    Sources are ranked in ranges of code points and by the numbers of sources in the ranges before, so no task sorts
+    them all. The water level rises until no source under its cap would be over it; every round is one sum.
     """
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = Window.orderBy(F.col(_SRC).asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(named) - 1) % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * float(most_epochs)
-    t = totals.withColumn("w", w).withColumn("cap", cap).withColumn("all", F.sum("source_size").over(every) * float(share))
-    rising = Window.orderBy(F.col("cap") / F.col("w"), F.col(_SRC).asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    after = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    t = t.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    t = t.withColumn("capped", F.col("cap") / F.col("w") <= F.col("level"))
-    rest = F.col("all") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0.0))
-    left = F.sum(F.when(~F.col("capped"), F.col("w"))).over(every)
-    t = t.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), rest * F.col("w") / left)))
-    return t.select(_SRC, "source_size", "target")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, buckets: int) -> DataFrame:
+    ranged = cut(totals.repartitionByRange(F.col(_SRC).asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before, offset = 0, []
+    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        offset.append((r["part"], before))
+        before += r["count"]
+    offsets = F.broadcast(totals.sparkSession.createDataFrame(offset, "part int, offset long"))
+    place = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy(F.col(_SRC).asc_nulls_last())) - 1
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
+    t = cut(ranged.join(offsets, "part").select(_SRC, "source_size", w.alias("w"), (F.col("source_size") * float(most_epochs)).alias("cap")))
+    all_words = float(t.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
+    level, capped, last = 0.0, F.lit(False), None
+    while True:
+        full, left = t.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("w"))), F.lit(0.0))).first()
+        if (full, left) == last or not left:
+            break
+        last, level = (full, left), (all_words - full) / left
+        capped = F.col("cap") <= F.col("w") * F.lit(level)
+    return t.select(_SRC, "source_size", F.when(capped, F.col("cap")).otherwise(F.least(F.col("cap"), F.col("w") * F.lit(level))).alias("target"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
     d = docs.withColumn(_Z, F.regexp_count(filled(F.col(text_col)), F.lit(WORD)).cast("long"))
     u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11).cast("double") + 0.5) / float(2**53)
-    d = d.withColumn(_K, -F.log(u) / quality_weight(F.col(text_col), F.col(_Z))).withColumn(_SRC, F.col(source_col))
-    return d.withColumn(_B, F.floor((1 - F.exp(-F.col(_K))) * buckets).cast("long"))
+    weight = quality_weight(F.col(text_col), F.col(_Z)) if weight_col is None else F.greatest(F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1e-9))
+    return d.withColumn(_K, -F.log(u) / weight).withColumn(_SRC, F.col(source_col))
 
 
 def mixed(
@@ -66,16 +77,23 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    buckets: int = 4096,
+    weight_col: str | None = None,
+    bucket_rows: int = 2048,
 ) -> DataFrame:
     """docs with size (words), source_size, target (words of its source) and taken (words, repeats counted).
 
     Null text has size 0; null is a source of its own, the last. Equal keys (repeated rows) are taken together. A
-    source without words has target 0. Input columns named like an added one are replaced, after their use as input.
-    An empty table gives an empty result.
+    source without words has target 0. Documents are drawn by quality_weight, or by weight_col, where null, NaN and
+    what is not over 0 count as next to nothing. Input columns named like an added one, in any case, are replaced,
+    after their use as input. An empty table gives an empty result. Buckets grow in number with the rows, by about
+    bucket_rows in each.
     """
-    full = _keyed(docs, id_col, text_col, source_col, buckets)
-    narrow = cut(full.select(_SRC, _Z, _K, _B))
+    full = _keyed(docs, id_col, text_col, source_col, weight_col)
+    narrow = cut(full.select(_SRC, _Z, _K))
+    buckets = max(64, narrow.count() // bucket_rows)
+    # keys of weight 1 are spread evenly, those of low weights gather in the last buckets: these are cut finer
+    bucket = (F.floor((1 - F.exp(-F.col(_K))) * buckets) + F.floor(F.least(F.col(_K), F.lit(1e6)) * (buckets // 16))).cast("long").alias(_B)
+    full, narrow = full.select("*", bucket), narrow.select("*", bucket)
     sums = cut(narrow.groupBy(_SRC, _B).agg(F.sum(_Z).alias("z")))
     totals = sums.groupBy(_SRC).agg(F.sum("z").alias("source_size"))
     goals = source_targets(totals, weights, share, most_epochs)
@@ -105,7 +123,7 @@ def mixed(
     out = _on_source(full, plan, few=few)
     extra = (F.col(_B) < F.col("__mx_end_bucket")) | ((F.col(_B) == F.col("__mx_end_bucket")) & (F.col(_K) <= F.col("__mx_end_key")))
     times = F.col("__mx_epochs") + F.when(extra, 1).otherwise(0)
-    columns = [c for c in docs.columns if c not in ADDED]
+    columns = others(docs, ADDED)
     return out.select(
         *columns,
         F.col(_Z).alias("size"),

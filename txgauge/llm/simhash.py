@@ -13,17 +13,18 @@ links is all that leaves them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import cut
+from txgauge.llm.common import cut, from_texts
 from txgauge.llm.components import components
 
 BITS, SMALL, BLOCK = 64, 128, 1 << 18
@@ -48,13 +49,13 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", name: str = "__fp") -> DataFrame:
-    """docs with the fingerprint as a signed long; null text is empty and has fingerprint 0."""
+    """docs, but the text, with the fingerprint as a signed long; null text is empty and has fingerprint 0."""
 
-    @F.pandas_udf("long")
-    def fp(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in text], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn(name, fp(F.col(text_col).cast("string")))
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        return lambda texts: [pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))]
+
+    return from_texts(docs, F.col(text_col), [c for c in docs.columns if c != text_col], f"{name} long", start)
 
 
 def _signed(mask: int) -> int:
@@ -212,7 +213,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, id_col:
     Null ids count as larger than any other; component_id is null only where all are. Repeated rows are linked, as
     are all texts without words (fingerprint zero). An empty table gives an empty result.
     """
-    rows = with_fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), words, "__text").select("__id", "__fp")
+    rows = with_fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), words, "__text")
     rows = cut(rows.withColumn("__none", F.col("__id").isNull()))
     out = near_groups(rows, ["__none", "__id"], distance)
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__min.__id").alias("component_id"))
@@ -225,7 +226,19 @@ def keep_one(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "
     """
     h = F.xxhash64(text_col)
     rows = docs.select(F.col(id_col).isNull().alias("__none"), F.col(id_col).alias("__id"), h.alias("__h"), F.col(text_col).alias("__text"))
-    rows = cut(with_fingerprints(rows, words, "__text").drop("__text"))
+    rows = cut(with_fingerprints(rows, words, "__text"))
     ids = ["__none", "__id", "__h"]
     gone = near_groups(rows, ids, distance).filter(~F.struct(*ids).eqNullSafe(F.col("__min"))).select("__id", "__h").distinct()
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")
+
+
+def keep_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """keep_one for links of Jaccard similarity 0.8 or more between sets of word shingles, none of which is lost.
+
+    At that similarity fingerprints differ in ten of 64 bits on average and in up to 18. To probe that far by the
+    pigeonhole principle, partitions of so few bits would be needed that all fingerprints share buckets, so candidates
+    come from the sets themselves here, by their prefixes; what follows, from verified links to components, is the same.
+    """
+    from txgauge.llm import jaccard
+
+    return jaccard.keep_one(docs, words, id_col, text_col)

@@ -13,14 +13,16 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txgauge.llm.common import from_texts, others
+
 MARK = "▁"
 LONG = 256
 #: Counts kept from one batch to the next, in each Python worker.
@@ -208,16 +210,18 @@ def model(path: str) -> PieceModel:
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text_col: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit.
 
-    Null text counts as empty: 0 bytes, 0 tokens. Input columns with the added names are replaced; an empty table
+    Null text counts as empty: 0 bytes, 0 tokens. Input columns with the added names, in any case, are replaced; an empty table
     gives an empty result.
     """
 
-    @F.pandas_udf("long")
-    def count(text: pd.Series) -> pd.Series:
-        m, texts = model(path), [t or "" for t in text]
-        return pd.Series([x for at in range(0, len(texts), 256) for x in m.count(texts[at : at + 256])], dtype="int64")
 
-    columns = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counted = docs.select(*columns, F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        m = model(path)
+
+        def make(texts: list[str | None]) -> list[pa.Array]:
+            return [pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([x for at in range(0, len(texts), 256) for x in m.count([t or "" for t in texts[at : at + 256]])], pa.int64())]
+
+        return make
+
+    counted = from_texts(docs, F.col(text_col), others(docs, ("n_bytes", "n_tokens", "over_limit")), "n_bytes long, n_tokens long", start)
+    return counted.select("*", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txgauge.llm.common import ascii_lower, cut
+from txgauge.llm.common import ascii_lower, cut, others
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
+#: Public suffixes of two labels that are taken without a list of one's own.
 SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.kr", "com.br", "com.cn", "co.in", "co.nz", "co.za")
 ADDED = ("host", "path", "rule", "verdict")
 
@@ -30,14 +31,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), two).otherwise(F.substring_index(host, ".", -1))
+def site_of(host: Column) -> Column:
+    """The host that reputation goes by: without user name, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(two)
+def _is_address(site: Column) -> Column:
+    return site.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+
+
+def suffix_of(site: Column, suffixes: Sequence[str] = SECOND_LEVEL) -> Column:
+    """The longest of the suffixes that the site ends in, else its last label; `ip` for addresses."""
+    found = F.substring_index(site, ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        last = F.substring_index(site, ".", -n)
+        found = F.when(last.isin(*[s for s in suffixes if s.count(".") + 1 == n]), last).otherwise(found)
+    return F.when(_is_address(site), "ip").otherwise(found)
+
+
+def domain_of(site: Column, suffixes: Sequence[str] = SECOND_LEVEL) -> Column:
+    """The suffix and one label more, if there is one; addresses are domains of their own."""
+    labels = F.size(F.split(suffix_of(site, suffixes), r"\.")) + 1
+    cut_at = F.split(site, r"\.")
+    return F.when(_is_address(site), site).otherwise(F.array_join(F.slice(cut_at, F.greatest(F.size(cut_at) - labels + 1, F.lit(1)), labels), "."))
 
 
 def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -67,10 +83,14 @@ def _shrunk(level: DataFrame) -> DataFrame:
     return d.withColumns(post).drop("m", "own", "rho", "k", "pa", "pb")
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, bad, bad_rate, bad_bound from rows (host, n, bad), one a host, of all hosts to be judged."""
+def host_reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SECOND_LEVEL) -> DataFrame:
+    """host, n, bad, bad_rate, bad_bound from rows (host, n, bad), one a host, of all hosts to be judged.
+
+    suffixes are public suffixes of more than one label, such as a full list of them; others are the last label.
+    """
     # each level is read twice, for its rho and for its rows: written, it is computed once
-    d = cut(outcomes).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    site = site_of(F.col("host"))
+    d = cut(outcomes).withColumn("domain", domain_of(site, suffixes)).withColumn("suffix", suffix_of(site, suffixes))
     domains = cut(d.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     bad, n = F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
@@ -86,21 +106,29 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], most_bad: float = 0.5, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id"
+    pages: DataFrame,
+    labels: DataFrame,
+    rules: Sequence[Rule],
+    most_bad: float = 0.5,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    label_id: str = "doc_id",
+    suffixes: Sequence[str] = SECOND_LEVEL,
 ) -> DataFrame:
     """pages with host, path, rule and verdict (allow or block).
 
-    A labelled page is bad if it is toxic or of quality 0; several labels of one page count as one, the worst; null
-    labels say nothing. Pages with a null identifier have no label. Null urls have an empty host and path. Hosts are
-    not parsed further (ports and user names stay). Input columns with the added names are replaced; an empty table
+    labels belong to the page whose identifier is their label_id: here the labels of documents speak of the pages of the
+    same number. A labelled page is bad if it is toxic or of quality 0; several labels of one page count as one, the worst; null
+    labels say nothing. Pages with a null identifier have no label. Null urls have an empty host and path. The host
+    keeps port and user name, reputation goes by it without them. Input columns with the added names are replaced; an empty table
     gives an empty result.
     """
     said = labels.filter(F.col(label_id).isNotNull() & (F.col("toxic").isNotNull() | F.col("quality").isNotNull())).groupBy(F.col(label_id).alias("__id"))
     said = said.agg(F.max(F.when((F.col("toxic") > 0) | (F.col("quality") <= 0), 1).otherwise(0)).alias("__bad"))
-    p = pages.drop(*(c for c in pages.columns if c.lower() in ADDED)).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    p = pages.select(*others(pages, ADDED)).withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     per_host = p.select("host", F.col(id_col).alias("__id")).join(said, "__id", "left").groupBy("host")
     outcomes = per_host.agg(F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
-    blocked = host_reputation(outcomes).select(F.col("host").alias("__host"), (F.col("bad_bound") > most_bad).alias("__blocked"))
+    blocked = host_reputation(outcomes, suffixes=suffixes).select(F.col("host").alias("__host"), (F.col("bad_bound") > most_bad).alias("__blocked"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     out = p.join(blocked, F.col("host") == F.col("__host"), "left").drop("__host")
     own = F.when(F.coalesce("__blocked", F.lit(False)), "block").otherwise("allow")
