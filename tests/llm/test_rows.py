@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -147,8 +148,7 @@ def test_mixing_takes_smallest_keys(spark, bucket_rows):
     rows = [(i, " ".join(rnd.choice(("word", "other", "third")) for _ in range(rnd.randrange(1, 60))), rnd.choice("aabbc"), 1.0 if i % 2 else 0.05) for i in range(1500)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
     got = {r.doc_id: r for r in mixing.mixed(d, weight_col="w", bucket_rows=bucket_rows).collect()}
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).cast("double") + 0.5) / float(2**53)
-    keys = {r.doc_id: r.k for r in d.select("doc_id", (-F.log(u) / F.col("w")).alias("k")).collect()}
+    keys = {i: -math.log((int(hashlib.md5(f"{i}:{t}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w for i, t, _, w in rows}
     for s in "abc":
         mine = sorted((i for i, _, x, _ in rows if x == s), key=keys.get)
         whole = min(3, int(got[mine[0]].target // got[mine[0]].source_size))

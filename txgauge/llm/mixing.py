@@ -64,7 +64,8 @@ def source_targets(totals: DataFrame, weights: Sequence[int], share: float, most
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
     d = docs.withColumn(_Z, F.regexp_count(filled(F.col(text_col)), F.lit(WORD)).cast("long"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11).cast("double") + 0.5) / float(2**53)
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), filled(F.col(text_col)))
+    u = (F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     weight = quality_weight(F.col(text_col), F.col(_Z)) if weight_col is None else F.greatest(F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1e-9))
     return d.withColumn(_K, -F.log(u) / weight).withColumn(_SRC, F.col(source_col))
 

@@ -107,11 +107,43 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP6 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+q AS (SELECT doc_id, source, size, length(t)::DOUBLE AS n, length(regexp_replace(t, '[^\p{L}]', '', 'g'))::DOUBLE AS letters, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || t), 1, 13))::BIGINT AS h FROM d),
+k AS (
+  SELECT doc_id, source, size, -ln((h + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / greatest(0.02::DOUBLE,
+    least(1::DOUBLE, letters / (0.8::DOUBLE * greatest(n - size, 1))) * CASE WHEN n / greatest(size, 1) - 1 BETWEEN 3 AND 12 THEN 1::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN size < 20 THEN 0.5::DOUBLE ELSE 1::DOUBLE END) AS key FROM q),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, 3 * sum(size)::DOUBLE AS cap, sum(sum(size)) OVER ()::DOUBLE AS words FROM k GROUP BY source),
+o AS (SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+c AS (SELECT *, cap <= w * level AS capped FROM o),
+g AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, w * ((words - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(w) FILTER (NOT capped) OVER ())) END AS target,
+    CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS epochs, target - epochs * source_size AS rest FROM c),
+r AS (SELECT k.*, g.* EXCLUDE (source), sum(size) OVER (PARTITION BY k.source ORDER BY key) AS cum FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source),
+e AS (
+  SELECT source, arg_min(key, (off, key)) AS last FROM (SELECT source, key, abs(cum - rest) AS off FROM r WHERE rest > 0 UNION ALL SELECT source, -1, rest FROM g WHERE rest > 0) GROUP BY source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN key <= last THEN 1 ELSE 0 END))::BIGINT AS taken FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, (length(x) // 2)::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, hash(x[2 * i + 1 : 2 * i + 400]) AS h FROM (SELECT doc_id, x, unnest(range(greatest(n - 199, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+b AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 201) > 200 AS begins FROM r),
+g AS (SELECT doc_id, i, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY doc_id, g),
+p AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM s),
+k AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(x[2 * last + 1 : 2 * a], '' ORDER BY a) || any_value(x)[2 * max(z) + 1 :] AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
@@ -128,4 +160,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_knn_join, op2_url_reputation, op3_content_sort, op4_bpe, op5_simhash, op6_mixing, op7_suffix_index, op8_pii, op9_lang_id, op10_token_counts)}
-ORACLES = {"op1_knn_join": OP1, "op2_url_reputation": OP2, "op3_content_sort": OP3}
+#: Tokenizers, 64-bit XXH, compression and iterated scores are not SQL's: the others are tested against libraries or brute force.
+ORACLES = {"op1_knn_join": OP1, "op2_url_reputation": OP2, "op3_content_sort": OP3, "op6_mixing": OP6, "op7_suffix_index": OP7}
