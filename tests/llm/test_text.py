@@ -190,7 +190,7 @@ def slow_patterns(edges, rounds=8, support=3, confidence=0.8):
         for p, x in of.items():
             for k in {k for _, k in trust}:
                 mine = [trust[i, k] for i in x if (i, k) in trust]
-                c = sum(int(t) if p.startswith("s ") else t for t in mine) / len(x)
+                c = (sum((i, k) in seeds for i in x) if p.startswith("s ") else sum(mine)) / len(x)
                 if len(mine) >= support and c >= confidence:
                     best[p] = max(best.get(p, (0, "")), (c, k))
         now = {p: (k, round(c, 6)) for p, (c, k) in best.items()}

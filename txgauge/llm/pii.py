@@ -183,21 +183,22 @@ def searched(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None
     return written(d.select(*columns, nodes.alias("__nodes"), F.monotonically_increasing_id().alias("__row")), "pii")
 
 
-def pattern_graph(found: DataFrame, least_support: int = 3) -> DataFrame:
-    """(pattern, instance, kind, n): kind null for candidates, n the pattern's instances; patterns with few left out."""
+def pattern_graph(found: DataFrame) -> DataFrame:
+    """(pattern, instance, kind, n): kind null for candidates, n the pattern's instances."""
     e = found.select(F.explode("__nodes").alias("e")).select(F.explode("e.patterns").alias("pattern"), F.col("e.s").alias("instance"), "e.kind")
     e = e.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    sizes = e.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeded")).filter(F.col("n") >= least_support)
+    sizes = e.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return e.join(sizes, "pattern")
 
 
 def learn_patterns(graph: DataFrame, rounds: int = 8, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """(pattern, kind, confidence) of the patterns to be trusted; at most `rounds` rounds, fewer if nothing changes."""
     graph = cut(graph)
-    seeds = graph.filter("kind is not null").select("instance", "kind").distinct().withColumn("trust", F.lit(1.0))
+    graph, every = graph.filter(F.col("n") >= least_support), graph
+    seeds = every.filter("kind is not null").select("instance", "kind").distinct().select("*", F.lit(1.0).alias("trust"), F.lit(1.0).alias("seed"))
     trusted, last = seeds, None
     while True:
-        trust = F.when(F.col("pattern").startswith("s "), F.floor("trust")).otherwise(F.col("trust"))  # of seeds it is 1, of others less
+        trust = F.when(F.col("pattern").startswith("s "), F.col("seed")).otherwise(F.col("trust"))
         scored = graph.drop("kind").join(trusted, "instance").groupBy("pattern", "n", "kind").agg(F.sum(trust).alias("s"), F.count(F.lit(1)).alias("support"))
         good = scored.withColumn("confidence", F.col("s") / F.col("n")).filter((F.col("support") >= least_support) & (F.col("confidence") >= least_confidence))
         best = good.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("b"))
@@ -206,8 +207,8 @@ def learn_patterns(graph: DataFrame, rounds: int = 8, least_support: int = 3, le
         if state == last or rounds <= 0:
             return patterns
         last = state
-        drawn = graph.drop("kind").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("trust"))
-        trusted = seeds.union(drawn).groupBy("instance", "kind").agg(F.max("trust").alias("trust"))
+        drawn = graph.drop("kind").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("trust"), F.lit(0.0).alias("seed"))
+        trusted = seeds.union(drawn).groupBy("instance", "kind").agg(F.max("trust").alias("trust"), F.max("seed").alias("seed"))
 
 
 def find(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, **how) -> DataFrame:
@@ -219,7 +220,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: Sequence[str] | None = N
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c in others(docs, ADDED)]
     found = searched(docs, text_col, columns)
-    patterns = learn_patterns(pattern_graph(found, how.get("least_support", 3)), **how)
+    patterns = learn_patterns(pattern_graph(found), **how)
     n = patterns.count()
     none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
     if n:
