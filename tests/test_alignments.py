@@ -67,7 +67,7 @@ def test_coverage(spark, tmp_path):
     rnd = random.Random(20)
     placed = [(0, rnd.randrange(0, 390), rnd.choice(CIGARS)) for _ in range(300)] + [(1, 250, "100M"), (1, 299, "100M")]
     d, refs = load(spark, tmp_path, [record(f"r{i}", 0, r, p, c) for i, (r, p, c) in enumerate(placed)])
-    runs = coverage.runs(coverage.blocks(d, refs)).cache()
+    runs = coverage.runs(coverage.blocks(d, refs, 3)).cache()
     unc = {r.ref_id: r.bases_uncovered for r in coverage.bases_uncovered(refs, runs).collect()}
     states = {(r.ref_id, r.bin): r.state for r in coverage.bin_states(refs, runs).collect()}
     for k, (_, n) in enumerate(REFS):

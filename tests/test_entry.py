@@ -42,10 +42,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
 
 
-def test_without_the_corpus_subpackage(tmp_path):
-    """All else imports and is registered."""
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_without_the_corpus_subpackage(tmp_path, gone):
+    """All else imports and is registered, whether the pipeline's file goes or stays."""
     to = tmp_path / "repo"
-    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=to, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(to)}, check=True)
     assert out.stdout.split() == [str(len(QUERIES))] * 2

@@ -11,6 +11,7 @@ from bamfile import pair, record, write
 from txgauge import cli
 from txgauge.operators import comparison
 from txgauge.plans import assess, reports
+from txgauge.session import numbered
 from txgauge.sources import fasta, files, sinks, tables
 
 
@@ -220,3 +221,47 @@ def test_command_line(spark, assessed, tmp_path, capsys):
     assert cli.main(["compare", f"a={run}", f"b={run}"]) == 0 and "a -> b: valid" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["assess", "-a", fa, "--reference", "x.fa"])
+
+
+def test_fasta_is_split_anywhere(spark, tmp_path):
+    """The same records in the same order, however small the splits are."""
+    text = "".join(f">c{i} x\n" + "ACGT" * (i % 40) + "\nTT\n" for i in range(400))
+    (tmp_path / "x.fa").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        d = fasta.read_fasta(spark, tmp_path / "x.fa")
+        assert d.rdd.getNumPartitions() > 10
+        got = sorted((r.contig_idx, r.name, r.seq) for r in d.collect())
+        lines = tables.parse_orthogroups(numbered(spark.read.text(str(tmp_path / "x.fa")), "at")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, f"c{i}", "ACGT" * (i % 40) + "TT") for i in range(400)]
+    want = [(f"{n}.groups", w[1:]) for n, line in enumerate(text.split("\n"), 1) if (w := line.split())]
+    assert sorted((r.label, r.members) for r in lines) == sorted(want)
+
+
+def test_fleet_commands(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda master=None: spark)
+    for pair, head, row in (("a", "assembly,score", "x.fa,0.5"), ("b", "assembly,cutoff", "y.fa,0.1")):
+        (tmp_path / "results" / pair).mkdir(parents=True)
+        (tmp_path / "results" / pair / "assemblies.csv").write_text(f"{head}\n{row}\n")
+        (tmp_path / "results" / pair / "contigs.csv").write_text("contig_name,length\nc1,5\n")
+    (tmp_path / "manifest.tsv").write_text("a\tx.fa\tr1,r2\nb\ty.fa\tr1\nc\tz.fa\tr1\n")
+    (tmp_path / "pairs_seed.csv").write_text("pair_id,organism,other\na,Mus,1\na,Homo,2\n")
+    assert cli.main(["collect", str(tmp_path), "--contigs"]) == 0
+    assert "no result yet: c" in capsys.readouterr().out
+    rows = list(csv.DictReader((tmp_path / "assembly_metrics.csv").open()))
+    assert [(r["pair_id"], r["organism"], r["n_read_pairs"], r["score"], r["cutoff"]) for r in rows] == [("a", "Homo", "2", "0.5", ""), ("b", "", "1", "", "0.1")]
+    assert [r["pair_id"] for r in csv.DictReader((tmp_path / "contig_metrics.csv").open())] == ["a", "b"]
+    for f in ("pairs/p/assembly/x.fa", "pairs/p/reads/r_1.fastq", "pairs/p/reads/r_2.fastq", "pairs/q/assembly/x.fa"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_text("x")
+    assert cli.main(["manifest", str(tmp_path), "--out", str(tmp_path / "jobs.tsv")]) == 0
+    assert capsys.readouterr().out == "left out q: no read files\n1 jobs\n"
+    (tmp_path / "in.fa").write_text(">ENA|A1|A1.1 x\nAC\n>b|c\nGT\n")
+    assert cli.main(["normalise", str(tmp_path / "in.fa"), str(tmp_path / "out.fa")]) == 0
+    assert (tmp_path / "out.fa").read_text() == ">A1\nAC\n>b_c\nGT\n"
+    (tmp_path / "in.fa").write_text(">ENA|A1|A1.1 x\nAC\n>A1\nGT\n")
+    with pytest.raises(ValueError, match="A1"):
+        cli.main(["normalise", str(tmp_path / "in.fa"), str(tmp_path / "out.fa")])

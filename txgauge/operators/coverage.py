@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from txgauge.functions import alignment as A
 from txgauge.functions import bins as B
+from txgauge.session import small
 
 
-def blocks(assigned: DataFrame, refs: DataFrame) -> DataFrame:
-    """(ref_id, start, end) of the reference blocks that the mapped records cover; refs: ref_id, length."""
+def blocks(assigned: DataFrame, refs: DataFrame, n_refs: int) -> DataFrame:
+    """(ref_id, start, end) of the reference blocks that the mapped records cover; refs: ref_id, length, n_refs of them."""
     m = assigned.filter(~A.has(F.col("flag"), A.UNMAPPED)).select("ref_id", "pos", "cigar")
-    d = m.join(refs.select("ref_id", F.col("length").alias("__length")), "ref_id")
+    d = m.join(small(refs.select("ref_id", F.col("length").alias("__length")), n_refs), "ref_id")
     b = d.select("ref_id", F.explode(A.covered_blocks(F.col("pos"), F.col("cigar"), F.col("__length"))).alias("b"))
     return b.select("ref_id", "b.start", "b.end").filter("end > start")
 

@@ -56,7 +56,7 @@ class Assessment:
 def reference_metrics(assigned: DataFrame, refs: DataFrame, distance: int, settings: Settings = Settings()) -> DataFrame:
     """refs (ref_id, name, length) with the counters, bases_uncovered, p_not_segmented and p_seq_true."""
     acc = accumulation.over_references(refs, accumulation.counters(assigned, distance))
-    runs = coverage.runs(coverage.blocks(assigned, refs))
+    runs = coverage.runs(coverage.blocks(assigned, refs, refs.count()))
     seg = segmentation.prob_not_segmented(coverage.bin_states(refs, runs, pad=settings.pad_bins), null_prior=settings.null_prior)
     d = acc.join(coverage.bases_uncovered(refs, runs), "ref_id").join(seg, "ref_id", "left").withColumn("p_not_segmented", F.coalesce("p_not_segmented", F.lit(1.0)))
     return d.withColumn("p_seq_true", S.p_seq_true(F.col("scored_alignments"), F.col("edit_distance_total"), F.col("reads_mapped")))

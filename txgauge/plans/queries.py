@@ -110,7 +110,7 @@ def p_seq_true_p_good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.runs(coverage.blocks(_assigned(spark, sf_dir), X.refs(spark, sf_dir)))
+    return coverage.runs(coverage.blocks(_assigned(spark, sf_dir), X.refs(spark, sf_dir), X.N_REFS))
 
 
 @query
@@ -195,7 +195,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = X.refs(spark, sf_dir)
     assigned = _assigned(spark, sf_dir)
     acc = accumulation.over_references(refs, accumulation.counters(assigned, DISTANCE))
-    runs = coverage.runs(coverage.blocks(assigned, refs))
+    runs = coverage.runs(coverage.blocks(assigned, refs, X.N_REFS))
     per_ref = acc.join(coverage.bases_uncovered(refs, runs), "ref_id").join(segmentation.prob_not_segmented(coverage.bin_states(refs, runs)), "ref_id")
     own = refs.select(F.col("ref_id").cast("long").alias("contig_idx"), "name", "length").union(spark.createDataFrame([(25, "UNSEEN", 500)], "a long, b string, c int"))
     own = own.withColumns({"prop_gc": F.col("length") % 7 / 7, "orf_length": F.floor(F.col("length") / 9)})

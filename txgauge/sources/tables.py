@@ -60,7 +60,7 @@ def parse_quant(lines: DataFrame) -> DataFrame:
 
 def read_quant(spark: SparkSession, path: str) -> DataFrame:
     """parse_quant of a file."""
-    return parse_quant(spark.read.text(path))
+    return parse_quant(spark.read.text(str(path)))
 
 
 # reads
@@ -121,7 +121,7 @@ def parse_orthogroups(lines: DataFrame) -> DataFrame:
 
 def read_orthogroups(spark: SparkSession, path: str) -> DataFrame:
     """parse_orthogroups of a file."""
-    return parse_orthogroups(numbered(spark.read.text(path), "at"))
+    return parse_orthogroups(numbered(spark.read.text(str(path)), "at"))
 
 
 def read_group_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +141,7 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return parse_manifest(spark.read.text(path))
+    return parse_manifest(spark.read.text(str(path)))
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
