@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -86,3 +87,75 @@ def test_sketches_keep_similar_pairs():
             pair = lambda x, y: jaccard.candidates(np.array([1, 2]), np.array([len(x), len(y)]), [jaccard.sketch(x), jaccard.sketch(y)])
             assert pair(a, b) == [(1, 2)]
             assert n < 45 or pair(a, c) == []
+
+
+def slow_sim(text):
+    """SimHash fingerprint of the set of words."""
+    h = [int(jaccard.shingles(w)[0]) for w in set((text or "").encode().lower().decode().split())] or [int(jaccard.shingles("")[0])]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_classes(texts, distance):
+    """Class by document: the smallest one that links of close fingerprints lead to."""
+    sims = {i: slow_sim(t) for i, t in texts.items()}
+    return slow_components(sims, [(a, b) for a, b in combinations(sims, 2) if (sims[a] ^ sims[b]).bit_count() <= distance])
+
+
+def no_buckets(texts, rows, words, least_hot):
+    return rows.select(rows["__fp"].alias("bucket"), "__fp").limit(0)
+
+
+def test_stage_probes_fingerprints(spark, monkeypatch):
+    """A near copy with a close fingerprint is found without prefixes, a similar text with a farther one is not."""
+    monkeypatch.setattr(jaccard, "_buckets", no_buckets)
+    base = [f"w{i}" for i in range(300)]
+    changed = lambda n: " ".join(["x" + w if i % 20 == 7 and i < 20 * n else w for i, w in enumerate(base)])
+    texts = {1: " ".join(base), 2: changed(1), 3: changed(6)}
+    assert (slow_sim(texts[1]) ^ slow_sim(texts[2])).bit_count() <= 3 < min((slow_sim(texts[3]) ^ slow_sim(texts[k])).bit_count() for k in (1, 2))
+    assert slow_kept(texts)[0] == [1]
+    assert got_kept(corpus_pipeline.near(spark, frame(spark, texts.items()), "")) == [1, 3]
+
+
+@pytest.mark.parametrize("distance", [2, 3])
+def test_fingerprints_alone(spark, monkeypatch, distance):
+    """Without prefixes the stage links just the similar documents of each class of close fingerprints."""
+    monkeypatch.setattr(jaccard, "_buckets", no_buckets)
+    monkeypatch.setattr(jaccard, "fingerprint_classes", partial(jaccard.fingerprint_classes, distance=distance))
+    texts = copies(6)
+    of, links = slow_classes(texts, distance), slow_kept(texts)[1]
+    near = [(a, b) for a, b in links if of[a] == of[b]]
+    assert 20 < len(near) < len(links)
+    assert got_kept(corpus_pipeline.near(spark, frame(spark, texts.items()), "")) == sorted(set(slow_components(texts, near).values()))
+
+
+@pytest.mark.parametrize(("distance", "most"), [(2, 1024), (3, 2), (5, 1024)])
+def test_prefixes_do_the_rest(spark, monkeypatch, distance, most):
+    """However much fingerprints settle, together with prefixes no link is lost; prefixes leave out what is settled."""
+    monkeypatch.setattr(jaccard, "fingerprint_classes", partial(jaccard.fingerprint_classes, distance=distance, most=most))
+    texts = copies(7)
+    assert got_kept(corpus_pipeline.near(spark, frame(spark, texts.items()), "")) == slow_kept(texts)[0]
+
+
+def test_settled_pairs_are_left_out():
+    sets = [np.arange(k, 1000 + k, dtype=np.uint64) << np.uint64(54) for k in range(4)]
+    ids, sizes, bits = np.arange(4), np.array([1000] * 4), [jaccard.sketch(s) for s in sets]
+    assert len(jaccard.candidates(ids, sizes, bits)) == 3
+    assert jaccard.candidates(ids, sizes, bits, np.array([7, 7, 7, 7])) == []
+    assert all((a < 2) != (b < 2) for a, b in jaccard.candidates(ids, sizes, bits, np.array([7, 7, 8, 8])))
+
+
+def test_classes_of_fingerprints(spark):
+    """Classes of more than `most` sets are left to the prefixes; equal sets are one."""
+    texts = {i: t for i, t in copies(8).items() if t and len(t.split()) > 5}
+    docs = frame(spark, texts.items()).selectExpr("doc_id AS __id", "text AS __text")
+    rows = jaccard.with_prefixes(docs, np.array([], np.uint64)).cache()
+    fp, of = {r["__id"]: r["__fp"] for r in rows.collect()}, slow_classes(texts, 3)
+    members = {}
+    for i, c in of.items():
+        members.setdefault(c, set()).add(fp[i])
+    for most in (3, 1024):
+        got = {}
+        for r in jaccard.fingerprint_classes(rows, most=most).collect():
+            got.setdefault(r["class"], set()).add(r.fp)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if 2 <= len(m) <= most)
+    rows.unpersist()

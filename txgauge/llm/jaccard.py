@@ -1,15 +1,19 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: a set-similarity join by prefixes.
+"""Near-dedup by exact Jaccard similarity of word shingles: SimHash proposes, prefixes of the sets do for the rest.
+
+SimHash fingerprints of the documents' sets of words are probed by the generalised pigeonhole principle; documents that
+links of at most DISTANCE bits connect are a class. A class of up to MOST documents is a bucket, in which all its pairs
+are looked at. Pairs of no such class are found exactly by a set-similarity join:
 
 Sets whose Jaccard similarity is SIMILAR or more share that part of the larger one's elements, so under any common
 order of all shingles they share one of each set's first few (a fifth and one): no pair is lost by looking only there.
 Shingles are ordered by hash. Documents that share a shingle with more than SMALL others are looked at again among
 themselves with such shingles ordered last, so that what is common to many groups them only where little else is left.
 
-Documents under one shingle are a bucket. Its pairs are candidates unless their sizes or sketches are too far apart: each
-document carries four bits of the smallest shingle in each of BINS ranges of hashes, and two sets of similarity J agree
-in about J of the ranges that either has. Pairs that agree in fewer than LEAST of them are left out; a similar pair would
-do so with a chance of 3e-10 at most. Full sets are held once, by component of the candidates; in it all pairs that are
-not connected yet are verified, and a spanning forest of their links is all that leaves it.
+Documents under one shingle are a bucket too. A bucket's pairs are candidates unless their sizes or sketches are too far
+apart: each document carries four bits of the smallest shingle in each of BINS ranges of hashes, and two sets of
+similarity J agree in about J of the ranges that either has. Pairs that agree in fewer than LEAST of them are left out; a
+similar pair would do so with a chance of 3e-10 at most. Full sets are held once, by component of the candidates; in it
+all pairs that are not connected yet are verified, and a spanning forest of their links is all that leaves it.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txgauge.llm import simhash
 from txgauge.llm.common import cut, from_texts, release
 from txgauge.llm.components import components
-from txgauge.llm.simhash import near_groups
 from txgauge.session import small
 
 WORDS, SMALL, ROUNDS, BINS, LEAST = 5, 128, 3, 256, 0.64
+DISTANCE, MOST = 3, 1024  # bits between fingerprints, and documents of a class that is one bucket
 SIMILAR = (4, 5)  # least similarity, as a fraction
 _MOST_LAST = 1 << 16  # shingles that one round orders last: affects speed only
 _ROWS, _COLS = 1024, 4096  # of the blocks that are multiplied
@@ -41,18 +46,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of all runs of `words` words; a shorter text is one run, even without words."""
+def word_hashes(text: str | None) -> np.ndarray:
     w = (text or "").encode("utf-8", "replace").lower().split()  # as in simhash.fingerprint
-    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    size = min(words, len(w))
-    n = len(w) - size + 1 if size else 1
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+
+
+def runs(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of all runs of `words` words; a shorter text is one run, even without words."""
+    size = min(words, len(h))
+    n = len(h) - size + 1 if size else 1
     out = np.full(n, size + 1, np.uint64)
     for i in range(size):
         out = _mixed(out * _TABLE[i] + h[i : i + n])
     return np.unique(out)
 
 
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    return runs(word_hashes(text), words)
+
+
 def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The first shingles, of which similar sets share one; those in `last` come after all others."""
     a, b = SIMILAR
@@ -77,20 +89,25 @@ def _marked(x: np.ndarray) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, last: np.ndarray, words: int = WORDS, text_col: str = "__text") -> DataFrame:
-    """docs, but the text, with __fp, a hash of the set of shingles, __keys, its prefix, __size and __bits, its sketch."""
+    """docs, but the text, with columns of the set of shingles and __sim, the SimHash fingerprint of the set of words.
+
+    __fp is a hash of the set of shingles, __keys its prefix, __bits its sketch.
+    """
 
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
         def make(texts: list[str | None]) -> list[pa.Array]:
-            sets = [shingles(t, words) for t in texts]
+            hashes = [word_hashes(t) for t in texts]
+            sets = [runs(h, words) for h in hashes]
+            sims = np.array([simhash.majority(runs(h, 1)) for h in hashes], dtype=np.uint64).view(np.int64)
             keys = [prefix(s, last).view(np.int64) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            return [pa.array(fps), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
+            return [pa.array(fps), pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(sims)]
 
         return make
 
-    return from_texts(docs, F.col(text_col), [c for c in docs.columns if c != text_col], "__fp long, __keys array<long>, __size long, __bits binary", start)
+    return from_texts(docs, F.col(text_col), [c for c in docs.columns if c != text_col], "__fp long, __keys array<long>, __size long, __bits binary, __sim long", start)
 
 
 def _connected(ids: np.ndarray, near_of: Callable[[int, int, int, int], np.ndarray]) -> list[tuple[int, int]]:
@@ -139,8 +156,13 @@ def forest(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return _connected(ids, near_of)
 
 
-def candidates(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all pairs that may be similar by their sizes and sketches."""
+def candidates(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes], settled: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs that may be similar by their sizes and sketches.
+
+    Pairs of one value of `settled` are left out: they are looked at elsewhere.
+    """
+    if settled is not None and (settled == settled[0]).all():
+        return []
     a, b = SIMILAR
     v = np.frombuffer(b"".join(bits), np.uint64).reshape(len(ids), -1)
 
@@ -153,18 +175,20 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> list[tu
             differ += np.bitwise_count(_marked(v[i:i1, None, k] ^ v[None, j:j1, k]))
             either += np.bitwise_count(has[i:i1, None, k] | has[None, j:j1, k])
         x, y = sizes[i:i1, None], sizes[None, j:j1]
-        return (differ <= (1 - LEAST) * either) & (b * np.minimum(x, y) >= a * np.maximum(x, y))
+        near = (differ <= (1 - LEAST) * either) & (b * np.minimum(x, y) >= a * np.maximum(x, y))
+        return near if settled is None else near & (settled[i:i1, None] != settled[None, j:j1])
 
     return _connected(ids, near_of)
 
 
 def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate edges from (bucket, fp, size, bits) in order of the bucket."""
-    rows = (r for d in batches for r in zip(d["bucket"], d["__fp"], d["size"], d["bits"], strict=True))
+    """Candidate edges from (of_class, bucket, fp, size, bits, class) in order of the first two."""
+    rows = (r for d in batches for r in zip(d["of_class"], d["bucket"], d["__fp"], d["size"], d["bits"], d["class"], strict=True))
     out: list[tuple[int, int]] = []
-    for _, members in groupby(rows, key=lambda r: r[0]):
-        known = {fp: (n, x) for _, fp, n, x in members}
-        out += candidates(np.array(list(known), np.int64), np.array([n for n, _ in known.values()]), [x for _, x in known.values()])
+    for (of_class, _), members in groupby(rows, key=lambda r: r[:2]):
+        known = {r[2]: r[3:] for r in members}
+        sizes, bits, classes = zip(*known.values(), strict=True)
+        out += candidates(np.array(list(known), np.int64), np.array(sizes), bits, None if of_class else np.array(classes, np.int64))
         if len(out) > 10_000:
             yield pd.DataFrame(out, columns=["a", "b"])
             out = []
@@ -210,11 +234,22 @@ def _buckets(texts: DataFrame, rows: DataFrame, words: int, least_hot: int) -> D
     return cut(buckets.distinct().select(F.xxhash64("fps").alias("bucket"), F.explode("fps").alias("__fp")))
 
 
-def _candidate_groups(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(bucket, __fp): components of the candidates."""
+def fingerprint_classes(rows: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFrame:
+    """(fp, class): classes of two to `most` distinct sets that links of close fingerprints connect."""
+    nodes = cut(rows.select(F.col("__fp").alias("fp"), "__sim").dropDuplicates(["fp"]))
+    roots = components(simhash.linked(nodes.select(F.col("__sim").alias("fp")).distinct(), distance))
+    known = cut(nodes.join(roots, F.col("__sim") == F.col("node"), "left").select("fp", F.coalesce("root", "__sim").alias("root")))
+    sizes = known.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("class")).filter(F.col("n").between(2, most))
+    return cut(known.join(sizes, "root").select("fp", "class"))
+
+
+def _candidate_groups(rows: DataFrame, buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, __fp): components of the candidates, of those in classes and of those that only prefixes bring together."""
     known = rows.select(F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__bits").alias("bits")).dropDuplicates(["fp"])
-    held = buckets.join(known, F.col("__fp") == F.col("fp")).select("bucket", "__fp", "size", "bits")
-    pairs = held.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_propose, "a long, b long")
+    known = known.join(classes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
+    every = buckets.select(F.lit(False).alias("of_class"), "bucket", "__fp").union(classes.select(F.lit(True), "class", "fp"))
+    held = every.join(known, F.col("__fp") == F.col("fp")).select("of_class", "bucket", "__fp", "size", "bits", "class")
+    pairs = held.repartition("of_class", "bucket").sortWithinPartitions("of_class", "bucket").mapInPandas(_propose, "a long, b long")
     return cut(components(pairs).select(F.col("root").alias("bucket"), F.col("node").alias("__fp")))
 
 
@@ -224,9 +259,11 @@ def linked(texts: DataFrame, rows: DataFrame, words: int = WORDS, least_hot: int
     texts are (__none, __id, __h, __text), rows the same with what with_prefixes adds instead of the text. What leads
     to a step's result is let go before the next one, so that Spark can drop its shuffles.
     """
+    classes = fingerprint_classes(rows)
+    release(texts.sparkSession)
     buckets = _buckets(texts, rows, words, least_hot)
     release(texts.sparkSession)
-    buckets = _candidate_groups(rows, buckets)
+    buckets = _candidate_groups(rows, buckets, classes)
     release(texts.sparkSession)
 
     def start() -> Callable[[list[str | None]], list[pa.Array]]:
@@ -250,5 +287,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).isNull().alias("__none"), F.col(id_col).alias("__id"), h.alias("__h"), F.col(text_col).alias("__text"))
     rows = cut(with_prefixes(texts, np.array([], np.uint64), words))
     edges = linked(texts, rows, words, least_hot)
-    gone = near_groups(rows.drop("__keys", "__size", "__bits"), ids, edges=edges).filter(~F.struct(*ids).eqNullSafe(F.col("__min"))).select("__id", "__h").distinct()
+    gone = simhash.near_groups(rows.drop("__keys", "__size", "__bits", "__sim"), ids, edges=edges).filter(~F.struct(*ids).eqNullSafe(F.col("__min"))).select("__id", "__h").distinct()
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (h == F.col("__h")), "left_anti")

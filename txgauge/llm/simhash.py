@@ -48,6 +48,14 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes: the fingerprint of a set."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def with_fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", name: str = "__fp") -> DataFrame:
     """docs, but the text, with the fingerprint as a signed long; null text is empty and has fingerprint 0."""
 
@@ -235,9 +243,9 @@ def keep_one(docs: DataFrame, distance: int = 2, words: int = 3, id_col: str = "
 def keep_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """keep_one for links of Jaccard similarity 0.8 or more between sets of word shingles, none of which is lost.
 
-    At that similarity fingerprints differ in ten of 64 bits on average and in up to 18. To probe that far by the
-    pigeonhole principle, partitions of so few bits would be needed that all fingerprints share buckets, so candidates
-    come from the sets themselves here, by their prefixes; what follows, from verified links to components, is the same.
+    Fingerprints within jaccard.DISTANCE bits, found by `linked`, propose the nearest pairs. Similar texts can differ in
+    more bits, and to probe that far partitions of so few bits would be needed that all fingerprints share buckets: what
+    fingerprints do not settle is proposed by prefixes of the sets. All proposed pairs are verified by their sets.
     """
     from txgauge.llm import jaccard
 
