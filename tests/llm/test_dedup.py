@@ -143,6 +143,39 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("one_task", [-1, 60, components.ONE_TASK])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, one_task):
+    """All rounds, rounds until few edges are left, one task from the start; after each round shuffles are let go."""
+    rnd, released = random.Random(2), []
+    monkeypatch.setattr(components, "release", lambda spark: released.append(spark))
+    ids = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(150)]
+    links = [tuple(rnd.sample(ids, 2)) for _ in range(70)] + list(zip(ids[:40], ids[1:41], strict=True))
+    got = components.components(spark.createDataFrame([*links, (ids[0], ids[0])], "a long, b long"), one_task=one_task).collect()
+    linked = {i for e in links for i in e}
+    assert {r.node: r.root for r in got} == slow_components(linked, links) and len(got) == len(linked)
+    assert bool(released) == (one_task < len(links))
+
+
+def test_components_of_a_small_graph_take_few_tasks(spark):
+    """However many partitions there are, a long chain is not shuffled through all of them round by round."""
+    context, parts = spark.sparkContext, 40
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("small graph", "")
+        got = components.components(spark.range(500).selectExpr("id as a", "id + 1 as b")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.root for r in got} == {0} and len(got) == 501
+    seen = context.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("small graph") for s in seen.getJobInfo(j).stageIds}
+    tasks = sum(seen.getStageInfo(s).numCompletedTasks for s in stages if seen.getStageInfo(s))
+    assert tasks <= 5 * parts
+
+
 def slow_removed(texts, length=200):
     seen = {}
     raws = [(t or "").encode() for _, t in texts]
