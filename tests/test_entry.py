@@ -74,3 +74,7 @@ def test_assignment_exchanges_records_once(spark):
 def test_plans_stay_in_the_jvm(spark, name):
     plan = _plan(QUERIES[name](spark, SMALL))
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_records_are_written_by_all_tasks(spark):
+    assert len(QUERIES["fasta_records"](spark, SMALL).inputFiles()) > 1

@@ -241,6 +241,22 @@ def test_fasta_is_split_anywhere(spark, tmp_path):
     assert sorted((r.label, r.members) for r in lines) == sorted(want)
 
 
+def test_fasta_folder(spark, tmp_path):
+    """A folder of parts is one file: records count on from part to part, and each part's own start is kept or ignored."""
+    parts = [">a\nAC\n>b\nGT\n", "junk\n>c\nA\n>>d\nC\n", "", "junk\n", ">>e\nTT\n>f\n" + "ACGT\n" * 400 + ">g\nG\n"]
+    for i, text in enumerate(parts):
+        (tmp_path / f"part-{i:05}.txt").write_text(text)
+    want = [(0, "a", "AC"), (1, "b", "GT"), (2, "c", "A"), (3, ">d", "C"), (4, ">e", "TT"), (5, "f", "ACGT" * 400), (6, "g", "G")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (old, "300b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = sorted((r.contig_idx, r.defline, r.seq) for r in fasta.read_plain(spark, str(tmp_path)).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == want
+
+
 def test_fleet_commands(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda master=None: spark)
     for pair, head, row in (("a", "assembly,score", "x.fa,0.5"), ("b", "assembly,cutoff", "y.fa,0.1")):

@@ -318,9 +318,9 @@ def missing_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(lines: DataFrame, spark: SparkSession) -> str:
-    """The folder of a text file of lines (value) in the order of `at`."""
+    """The folder of text files of lines (value), which follow each other in the order of `at`."""
     path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    lines.repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path)
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
     return path
 
 
@@ -331,7 +331,7 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = F.rtrim(F.regexp_replace("s", "(.{60})", "$1\n"), F.lit("\n"))
     head = F.concat(F.lit(">ENA|"), F.col("contig_idx"), F.lit("|"), F.col("contig_idx"), F.lit(".1 a contig;"))
     path = f"{shared_folder(spark)}/fasta-{uuid.uuid4().hex}"
-    c.select(F.concat_ws("\n", head, folded).alias("value")).coalesce(1).write.text(path)
+    c.select(F.concat_ws("\n", head, folded).alias("value")).write.text(path)  # a file of each task
     return fasta.read_plain(spark, path).select(fasta.archive_name(F.col("defline")).alias("name"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("seq_md5"))
 
 
@@ -366,7 +366,7 @@ def score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("contig_idx") % 9 == 0, "n/a").otherwise(F.round("score", 6).cast("string"))
     d = p.select("contig_name", *[F.lit(i).alias(f"c{i}") for i in range(1, 8)], score.alias("score"), F.lit("more").alias("last"))
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    d.coalesce(1).write.csv(path, header=True)
+    d.write.csv(path, header=True)
     return tables.read_scores(spark, path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTINGS = {
@@ -48,18 +48,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"file://{tempfile.gettempdir()}/checkpoints"
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df, scanned from one file, with the number of each row from 0 in the order of the file.
+def numbered(df: DataFrame, name: str, own: str | None = None, unless: Column | None = None) -> DataFrame:
+    """df, scanned from files, with the number of each row from 0 in the order of the file; of a folder, files follow by path.
 
-    Rows are counted by block of the file; a block's rows are numbered by what stands before it. The table of blocks
-    has a row for each split.
+    Rows are counted by block of a file; a block's rows are numbered by what stands before it. The table of blocks
+    has a row for each split. own names a column for the number in the row's own file. A file's first row is left out
+    and not counted if it fulfils unless.
     """
-    d = df.withColumns({"__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
-    sizes = d.groupBy("__block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).orderBy("__block").collect()
-    starts, before = [], 0
+    odd = F.lit(False) if unless is None else unless
+    d = df.withColumns({"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
+    sizes = d.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"), F.min_by(odd, "__at").alias("odd")).orderBy("__file", "__block").collect()
+    starts, before, inside, last = [], 0, 0, None
     for r in sizes:
-        starts.append((r["__block"], r["first"], before))
-        before += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts, "__b long, __first long, __before long")
-    d = d.join(F.broadcast(offsets), F.col("__block") == F.col("__b"))
-    return d.select(*df.columns, (F.col("__at") - F.col("__first") + F.col("__before")).alias(name))
+        if r["__file"] != last:
+            last, inside = r["__file"], 0
+        before -= inside == 0 and r["odd"]
+        starts.append((r["__file"], r["__block"], r["first"], before, inside))
+        before, inside = before + r["n"], inside + r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "__f string, __b long, __first long, __before long, __inside long")
+    d = d.join(F.broadcast(offsets), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    at = F.col("__at") - F.col("__first")
+    if unless is not None:
+        d = d.filter((at + F.col("__inside") > 0) | ~odd)
+    return d.select(*df.columns, (at + F.col("__before")).alias(name), *([(at + F.col("__inside")).alias(own)] if own else []))

@@ -88,13 +88,14 @@ def parse_records(d: DataFrame) -> DataFrame:
 
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """(file, contig_idx, defline, seq) of one file that is not packed; what stands before the first > is ignored."""
-    text = spark.read.option("lineSep", "\n>").text(path).withColumn("__start", F.col("_metadata.file_block_start"))
-    d = numbered(spark.read.option("lineSep", "\n>").text(path), "__n")
-    first = text.filter("__start = 0").select("value").first()
-    headless = bool(first) and not first["value"].startswith(">")  # then the file's first piece is no record
-    d = d.filter("__n > 0") if headless else d.withColumn("value", F.when(F.col("__n") == 0, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")))
-    return parse_records(d.select(F.lit(path).alias("file"), (F.col("__n") - int(headless)).alias("contig_idx"), "value"))
+    """(file, contig_idx, defline, seq) of one file that is not packed, or of a folder of such files as one.
+
+    What stands before the first > of a file is ignored.
+    """
+    # only a file's first piece still has its >; without one it is no record
+    d = numbered(spark.read.option("lineSep", "\n>").text(path), "contig_idx", "__own", ~F.startswith("value", F.lit(">")))
+    value = F.when(F.col("__own") == 0, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
+    return parse_records(d.select(F.lit(path).alias("file"), "contig_idx", value.alias("value")))
 
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:

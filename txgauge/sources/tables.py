@@ -106,7 +106,7 @@ def load_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def read_scores(spark: SparkSession, path: str, column: int = 8) -> DataFrame:
     """(name, score) by the place of columns; rows that are short or have no number there are left out."""
-    d = numbered(scan_csv(spark, path, header=False), "__i").filter("__i > 0").drop("__i")
+    d = numbered(scan_csv(spark, path, header=False), "__i", "__own").filter("__own > 0").drop("__i", "__own")
     if len(d.columns) <= column + 1:
         return spark.createDataFrame([], "name string, score double")
     return d.select(F.col(d.columns[0]).alias("name"), F.col(d.columns[column]).try_cast("double").alias("score")).filter("score is not null")
