@@ -49,6 +49,20 @@ def test_longest_orf(spark):
     assert got == {i: slow_orf(s) for i, s in enumerate(seqs)}
 
 
+def test_longest_orf_reads_a_frame_once(spark):
+    """One pass a frame over a sequence that is made once a strand, whatever characters are in it."""
+    seqs = ["\n".join(["ATGAAA", "CCATAG", "TAAATG"] * k) for k in range(1, 9)] + ["😀ATG" * 7, "TAA😀\r\nATGé" * 5, "\u2028TAGATG\u0085CC"]
+    d = frame(spark, seqs).select("i", sequence.longest_orf(F.col("seq")).alias("orf"))
+    assert {r.i: r.orf for r in d.collect()} == {i: slow_orf(s) for i, s in enumerate(seqs)}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == plan.count("regexp_extract_all(") == 6 and plan.count("reverse(") == 1
+
+
+def test_longest_orf_of_nothing(spark):
+    d = spark.createDataFrame([(None,), ("",)], "seq string")
+    assert [r[0] for r in d.select(sequence.longest_orf(F.col("seq"))).collect()] == [0, 0]
+
+
 def test_longest_orf_of_a_chromosome(spark):
     """No recursion in the expressions, however long a frame is open."""
     s = "ACC" * 700_000

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 BASES = ("a", "c", "g", "t", "n")
 DINUCLEOTIDES = tuple(x + y for x in BASES for y in BASES)
-#: Codon patterns as read from the left, and as read from the right in the reversed forward sequence.
-_FORWARD = ("ATG", "T(?:A[AG]|GA)")
-_REVERSE = ("TAC", "A(?:T[CT]|CT)")
+#: Codon patterns as read from the left, and as read from the right in the reversed forward sequence: a stop, anything
+#: else, anything but a stop or start. They part by first letters, which takes less time than looking ahead everywhere.
+_FORWARD = ("T(?:A[AG]|GA)", "(?:[^T]..|T(?:[^AG].|A[^AG]|G[^A]))", "(?:[^AT]..|T(?:[^AG].|A[^AG]|G[^A])|A(?:[^T].|T[^G]))")
+_REVERSE = ("A(?:T[CT]|CT)", "(?:[^A]..|A(?:[^CT].|T[^CT]|C[^T]))", "(?:[^AT]..|A(?:[^CT].|T[^CT]|C[^T])|T(?:[^A].|A[^C]))")
 
 
 def count_of(seq: Column, letters: str) -> Column:
@@ -38,16 +39,19 @@ def prop_gc(seq: Column) -> Column:
     return F.coalesce(F.try_divide(count_of(seq, "gcGC"), F.length(seq)), F.lit(0.0))
 
 
-def _frame(seq: Column, start: str, stop: str) -> Column:
-    """Characters in the longest open stretch of the frame that begins at the first character.
+def _strand(seq: Column, stop: str, other: str, idle: str) -> Column:
+    """Characters in the longest open stretch of the frames that begin at the first three characters.
 
-    Before the first stop the frame is open from its beginning; after a stop it opens at the next start codon. The
-    codon loops are possessive and of fixed width, so they run without recursion and in linear time.
+    Before the first stop a frame is open from its beginning; after a stop it opens at the next start codon. Each frame is
+    one pass; the codon loops are possessive and of fixed width, so they run without recursion and in linear time.
     """
-    to_stop = f"(?:(?!{stop})...)*+"
-    head = F.length(F.regexp_extract(seq, f"^{to_stop}", 0))
-    tails = F.regexp_extract_all(F.substr(seq, head + 1), F.lit(rf"\G{stop}(?:(?!{stop}|{start})...)*+({to_stop})"), F.lit(1))
-    return F.greatest(head, F.coalesce(F.array_max(F.transform(tails, lambda t: F.length(t))), F.lit(0)))
+
+    def frame(s: Column, k: int) -> Column:
+        stretches = F.regexp_extract_all(s, F.lit(rf"(?s)(?:^.{{{k}}}(?!{stop})|(?:^.{{{k}}}|\G){stop}{idle}*+)({other}*+)"), F.lit(1))
+        return F.array_max(F.transform(stretches, lambda t: F.length(t)))
+
+    # a lambda's body is evaluated as it stands: bound to a variable, the sequence is made once and not once a frame
+    return F.transform(F.array(seq), lambda s: F.greatest(F.lit(0), *[frame(s, k) for k in range(3)]))[0]
 
 
 def longest_orf(seq: Column) -> Column:
@@ -56,6 +60,4 @@ def longest_orf(seq: Column) -> Column:
     A frame is open from the beginning of the sequence to its first stop, then from each start to the next stop or the
     end; the stop does not count.
     """
-    plain = F.regexp_replace(seq, "[^ACGT]", "N")
-    frames = [_frame(F.substr(s, F.lit(k)), *codons) for s, codons in ((plain, _FORWARD), (F.reverse(plain), _REVERSE)) for k in (1, 2, 3)]
-    return F.floor(F.greatest(*frames) / 3).cast("long")
+    return F.floor(F.greatest(_strand(seq, *_FORWARD), _strand(F.reverse(seq), *_REVERSE)) / 3).cast("long")
