@@ -78,3 +78,10 @@ def test_plans_stay_in_the_jvm(spark, name):
 
 def test_records_are_written_by_all_tasks(spark):
     assert len(QUERIES["fasta_records"](spark, SMALL).inputFiles()) > 1
+
+
+@pytest.mark.parametrize("name", ["seq_longest_orf", "assembly_basic_stats"])
+def test_frames_are_found_once(spark, name):
+    """Six frames, one pass each: aggregates and projections do not repeat them."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == plan.count("regexp_extract_all(") == 6
