@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from txgauge.plans.oracles import ORACLES
 from txgauge.plans.queries import QUERIES
@@ -85,3 +86,21 @@ def test_frames_are_found_once(spark, name):
     """Six frames, one pass each: aggregates and projections do not repeat them."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_") == plan.count("regexp_extract_all(") == 6
+
+
+def test_records_are_dealt_by_their_size(spark, tmp_path):
+    """Ten times the rows are not ten times the rows of a task; one exchange takes them to their fragment's task."""
+    li = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    old, rows = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        for n in (100, 1000):
+            to = tmp_path / str(n)
+            shutil.copytree(SMALL, to, ignore=shutil.ignore_patterns("lineitem*"))
+            li.crossJoin(spark.range(n)).withColumn("l_orderkey", li.l_orderkey * n + F.col("id")).drop("id").write.parquet(f"{to}/lineitem.parquet")
+            d = QUERIES["fragment_candidates"](spark, str(to))
+            assert _plan(d).count("Exchange hashpartitioning(") == 1
+            rows.append(max(r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert rows[1] < 5 * rows[0]

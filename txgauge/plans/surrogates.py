@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txgauge.functions import alignment as A
 from txgauge.functions.score import contig_score
-from txgauge.session import spread
+from txgauge.session import dealt, spread
 
 LETTERS, CODE = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 N_REFS = 25
@@ -52,8 +52,10 @@ def _cigar(kind) -> F.Column:
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of fragments (orders) on references (suppliers), at most one of each mate on each."""
+    # nearly every row is its own group, so rows go to their fragment's task as they are; nothing moves after that
     li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy(F.col("l_orderkey").alias("fragment_idx"), (F.col("l_suppkey") % N_REFS).cast("int").alias("ref_id"), (F.col("l_linenumber") % 2).cast("int").alias("mate"))
+    li = dealt(li.select(F.col("l_orderkey").alias("fragment_idx"), "l_suppkey", "l_linenumber", "l_quantity", "l_partkey"), li.count(), "fragment_idx")
+    g = li.groupBy("fragment_idx", (F.col("l_suppkey") % N_REFS).cast("int").alias("ref_id"), (F.col("l_linenumber") % 2).cast("int").alias("mate"))
     g = g.agg(F.min(F.floor("l_quantity") % 12).cast("int").alias("nm"), F.min("l_partkey").alias("part"))
     f, first = F.col("fragment_idx"), F.col("mate") == 1
     length = 600 + (F.col("ref_id") * 37) % 1500

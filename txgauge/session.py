@@ -39,6 +39,15 @@ def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most_bytes else df
 
 
+def dealt(df: DataFrame, rows: int, *by: str, most: int = 400_000) -> DataFrame:
+    """df, known to have so many rows, with equal values of by together, in as many partitions as keep about most rows each.
+
+    The number of shuffle partitions of a session does not grow with the input, and small ones are coalesced by their
+    packed bytes; so tasks would hold more rows the larger the input is.
+    """
+    return df.repartition(min(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), 1 << 15), *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share, spark.checkpoint.dir; only a local session may do without, in a temporary one."""
     context = spark.sparkContext
